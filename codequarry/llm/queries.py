@@ -1,20 +1,37 @@
 """The queries of this subpackage, op1_ to op10_, and their SQL where there is any."""
 
-from codequarry.llm import span_dedup
+from codequarry.llm import packing, span_dedup, token_codes
+from codequarry.llm.workspace import folder
 
 LENGTH = 35
 
 
+def tokenizer(name="word_bpe_49k.json"):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_codes(spark, sf_dir):
+    store = folder(spark)
+    token_codes.write(documents(spark, sf_dir), store, tokenizer(), end_id=1)
+    return token_codes.read(spark, store)
+
+
 def op2_span_dedup(spark, sf_dir):
     return span_dedup.digest(documents(spark, sf_dir), LENGTH)
 
 
+def op9_best_fit_packing(spark, sf_dir):
+    return packing.packed(documents(spark, sf_dir), tokenizer(), end_id=0, capacity=2048)
+
+
 def queries():
-    return {f.__name__: f for f in (op2_span_dedup,)}
+    return {f.__name__: f for f in (op1_token_codes, op2_span_dedup, op9_best_fit_packing)}
 
 
 def oracle_sql():
