@@ -41,16 +41,17 @@ def configurations(sizes, demand, capacity):
     level = np.array(demand, dtype=float) / np.diag(columns)
     most, room = capacity // int(sizes.min()), np.arange(capacity + 1)
     fits, rest = room >= sizes[:, None], np.maximum(room - sizes[:, None], 0)
-    for _ in range(20 * k):
-        inverse = np.linalg.inv(columns)
-        price = np.ones(k) @ inverse
+    inverse = np.linalg.inv(columns)
+    for _ in range(4 * k):
+        price = inverse.sum(axis=0)
         # the configuration of greatest price: a knapsack with `most` items at most, one layer for each
         best, taken = np.zeros(capacity + 1), []
         for _ in range(most):
             value = np.where(fits, best[rest] + price[:, None], 0.0)
             taken.append(value.argmax(axis=0))
             best = value[taken[-1], room]
-        if best[capacity] <= 1 + 1e-7:
+        # price @ demand / best bounds the optimum from below (Farley)
+        if best[capacity] <= 1 + 1e-7 or level.sum() * best[capacity] <= (price @ demand) * (1 + 1e-4):
             break
         new, c = np.zeros(k), capacity
         for layer in reversed(taken):
@@ -65,6 +66,9 @@ def configurations(sizes, demand, capacity):
         level = level - ratio[out] * move
         level[out] = ratio[out]
         columns[:, out] = new
+        row = inverse[out] / move[out]
+        inverse -= np.outer(move, row)
+        inverse[out] = row
     whole = np.floor(np.maximum(level, 0) + 1e-6).astype(int)
     return [(int(m), columns[:, j].round().astype(int)) for j, m in enumerate(whole) if m > 0]
 
