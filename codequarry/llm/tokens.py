@@ -1,24 +1,28 @@
-"""Token ids of whole texts, equal to the tokenizers library's, through a cache of words.
+"""Token ids of whole texts, equal to the tokenizers library's, through a cache of their parts.
 
 The tokenizer drops white space before it cuts text into pieces, so a text's
-ids are those of its parts between ASCII white space, one after another; a
-letter's piece ends where ASCII punctuation begins.  Parts seen before come
-from a bounded cache, all others from the library itself.
+ids are those of its parts between ASCII white space, one after another.  A
+part made of simple letters and then ASCII punctuation is two parts, the first
+in lower case, which the tokenizer makes it anyway.  Ids of parts seen before
+come from a bounded table by a 64-bit hash, all others from the library itself.
 """
 
-import re
 import sys
 import types
-from itertools import islice, repeat
 
 import numpy as np
 
-from codequarry.llm.textkit import blocks
+from codequarry.llm.textkit import _BYTE, SPACE_WORDS, Hasher, Words, blocks, lowered, mix
 
-#: Parts a worker keeps at most; later ones are forgotten after their block.
-CACHE_PARTS = 1_000_000
-#: Letters (ASCII, or of the two-byte block from U+00C0 on), then punctuation that no contraction begins with
-_TAIL = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-;=?@\[-`{}~]+)")
+#: Parts a worker keeps at most (about 60 bytes each).  A part is kept when it is met a second time.
+CACHE_PARTS = 1_200_000
+_SLOTS = 1 << 22
+#: Bytes: 0 an ASCII letter, 1 punctuation that no contraction begins with, 2 the first byte of U+00C0 to U+00FF, 3 a second byte, 4 any other
+_KIND = np.full(256, 4, dtype=np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 0
+_KIND[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) not in "'<|>"]] = 1
+_KIND[0xC3] = 2
+_KIND[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = 3
 
 
 class Encoder:
@@ -28,89 +32,134 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.mark = "<|endoftext|>"
         self.mark_id = self.library.token_to_id(self.mark)
-        self.place, self.n = {}, 0
-        self.start = np.zeros(1 << 16, dtype=np.int64)
-        self.size = np.zeros(1 << 16, dtype=np.int64)
-        self.pool, self.used = np.zeros(1 << 18, dtype=np.uint32), 0
-        self._add([b""], [], np.array([0]))
-
-    def _add(self, parts, ids, sizes):
-        """New parts, their ids one after another, and how many ids each has."""
-        n, used = self.n + len(parts), self.used + len(ids)
+        self.hasher = Hasher()
+        self.keys = np.zeros(_SLOTS, dtype=np.uint64)
+        self.place = np.zeros(_SLOTS, dtype=np.int32)
+        self.met = np.zeros(_SLOTS, dtype=bool)
+        self.n, self.used = 0, 0
+        self.start = np.zeros(1 << 16, dtype=np.int32)
+        self.size = np.zeros(1 << 16, dtype=np.int32)
+        self.pool = np.zeros(1 << 18, dtype=np.uint32)
+
+    def _slot(self, h):
+        return (h >> np.uint64(20)).astype(np.int64) & (_SLOTS - 1)
+
+    def _find(self, h):
+        """Places of hashes in the table, -1 for those it hasn't."""
+        out = np.full(len(h), -1, dtype=np.int32)
+        todo, slot = np.arange(len(h)), self._slot(h)
+        while len(todo):
+            key = self.keys[slot]
+            same = key == h[todo]
+            out[todo[same]] = self.place[slot[same]]
+            go = ~same & (key != 0)
+            todo, slot = todo[go], (slot[go] + 1) & (_SLOTS - 1)
+        return out
+
+    def _insert(self, h, ids, sizes):
+        """New hashes with their ids one after another and how many ids each has."""
+        n, used = self.n + len(h), self.used + len(ids)
         while n > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while used > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.place.update(zip(parts, range(self.n, n), strict=True))
         self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
         self.size[self.n : n] = sizes
         self.pool[self.used : used] = ids
+        todo, slot = np.arange(len(h)), self._slot(h)
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[todo[free]]
+            won = free & (self.keys[slot] == h[todo])
+            self.place[slot[won]] = self.n + todo[won]
+            todo, slot = todo[~won], (slot[~won] + 1) & (_SLOTS - 1)
         self.n, self.used = n, used
 
-    def _gather(self, index):
-        """The ids of the parts at these places, one after another, and how many each has."""
-        size = self.size[index]
-        ends = np.cumsum(size)
-        return self.pool[np.repeat(self.start[index] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)], size
-
     def _encode(self, parts):
-        """Adds parts to the cache with the library's ids."""
-        odd = [x for x in parts if b"<|" in x or b"|>" in x]
-        even = [x for x in parts if not (b"<|" in x or b"|>" in x)] if odd else parts
-        for i in range(0, len(even), 4000):
-            some = even[i : i + 4000]
-            ids = np.array(self.library.encode(self.mark.join([x.decode() for x in some]), add_special_tokens=False).ids, dtype=np.uint32)
-            cut = np.flatnonzero(ids == self.mark_id)
-            self._add(some, np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
-        for x in odd:
-            ids = self.library.encode(x.decode(), add_special_tokens=False).ids
-            self._add([x], ids, np.array([len(ids)]))
-
-    def learn(self, parts):
-        """Adds parts that the cache hasn't."""
-        made, heads, tails, new = [], [], [], set()
-        place, match = self.place, _TAIL.fullmatch
-        for x in parts:
-            m = match(x)
-            if m:
-                a, b = m.groups()
-                a = a.lower()
-                if b not in place:
-                    new.add(b)
+        """The library's ids of parts, one after another, and how many each has."""
+        ids, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        lo = 0
+        while lo < len(parts):
+            hi = lo
+            while hi < len(parts) and hi < lo + 4000 and b"<" not in parts[hi] and b">" not in parts[hi]:
+                hi += 1
+            if hi == lo:  # the part may hold the mark
+                got = np.array(self.library.encode(parts[lo].decode(), add_special_tokens=False).ids, dtype=np.uint32)
+                ids.append(got), sizes.append(np.array([len(got)]))
+                hi += 1
             else:
-                a, b = x.lower() if x.isalpha() else x, b""
-            if a not in place:
-                new.add(a)
-            if a != x:
-                made.append(x)
-                heads.append(a)
-                tails.append(b)
-        self._encode(list(new))
-        if made:
-            pairs = np.array([[place[a] for a in heads], [place[b] for b in tails]]).T.ravel()
-            ids, size = self._gather(pairs)
-            self._add(made, ids, size.reshape(-1, 2).sum(axis=1))
+                got = np.array(self.library.encode(self.mark.join([x.decode() for x in parts[lo:hi]]), add_special_tokens=False).ids, dtype=np.uint32)
+                cut = np.flatnonzero(got == self.mark_id)
+                ids.append(np.delete(got, cut)), sizes.append(np.diff(np.concatenate([[-1], cut, [len(got)]])) - 1)
+            lo = hi
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _parts(self, data, offsets):
+        """Starts, ends and hashes of the parts of a block, the bytes they were hashed from, and the parts before each document."""
+        w = Words(data, offsets, SPACE_WORDS)
+        kind = _KIND[data]
+        follows = np.zeros(len(data), dtype=bool)
+        follows[1:] = kind[:-1] == 2
+        odd = (kind == 4) | (follows != (kind == 3))
+        if len(kind) and kind[-1] == 2:
+            odd[-1] = True
+        tail = kind == 1
+        turn = np.zeros(len(data), dtype=bool)
+        turn[1:] = tail[1:] & ~tail[:-1]
+        back = np.zeros(len(data), dtype=bool)
+        back[1:] = tail[:-1] & ~tail[1:]
+        back[w.starts] = False
+        turn[w.starts] = False
+        wrong = np.append(0, np.cumsum((odd | back) & SPACE_WORDS[data], dtype=np.int32))
+        simple = (wrong[w.ends] == wrong[w.starts]) & ~tail[w.starts]
+        turns = np.append(0, np.cumsum(turn, dtype=np.int32))
+        cut = simple & (turns[w.ends] > turns[w.starts])
+        at = np.flatnonzero(turn)[turns[w.starts[cut]]]
+        place = np.arange(len(w.starts)) + np.cumsum(cut) - cut  # of each word's first part
+        n = len(w.starts) + len(at)
+        starts, ends = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        starts[place], ends[place] = w.starts, w.ends
+        starts[place[cut] + 1], ends[place[cut] + 1], ends[place[cut]] = at, w.ends[cut], at
+        low = lowered(data)
+        h = self.hasher.ranges(_BYTE[low], starts, ends)
+        other = place[~simple]
+        upper = np.append(0, np.cumsum(low != data, dtype=np.int32))
+        other = other[upper[ends[other]] > upper[starts[other]]]
+        if len(other):
+            h[other] = self.hasher.ranges(_BYTE[data], starts[other], ends[other])
+        h[h == 0] = mix(np.uint64(1))
+        first = np.append(place, n)[w.first]
+        raw = np.zeros(n, dtype=bool)
+        raw[other] = True
+        return starts, ends, h, low, raw, first
 
     def block(self, data, offsets):
         """ids of all documents of a block (see textkit.blocks) and the number of ids of each."""
-        raw = data.tobytes()
-        docs = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        counts = np.array([len(d) for d in docs], dtype=np.int64)
-        parts = [x for d in docs for x in d]
-        index = np.fromiter(map(self.place.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
-        missing = np.flatnonzero(index < 0).tolist()
-        kept = self.n, self.used
-        if missing:
-            self.learn(list({parts[i] for i in missing}))
-            index[missing] = [self.place[parts[i]] for i in missing]
-        ids, size = self._gather(index)
-        ends = np.cumsum(size)
-        bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))]
-        if self.n > CACHE_PARTS:
-            for x in list(islice(reversed(self.place), self.n - kept[0])):
-                del self.place[x]
-            self.n, self.used = kept
-        return ids, np.diff(bounds)
+        starts, ends, h, low, raw, first = self._parts(data, offsets)
+        index = self._find(h)
+        missing = np.flatnonzero(index < 0)
+        start, size, pool = self.start, self.size, self.pool
+        if len(missing):
+            new, one, which = np.unique(h[missing], return_index=True, return_inverse=True)
+            where = missing[one]
+            both = (low.tobytes(), data.tobytes())
+            parts = [both[r][a:b] for r, a, b in zip(raw[where].tolist(), starts[where].tolist(), ends[where].tolist(), strict=True)]
+            ids, sizes = self._encode(parts)
+            begin = np.cumsum(sizes) - sizes
+            spot = self._slot(new)
+            keep = self.met[spot] if self.n < CACHE_PARTS else np.zeros(len(new), dtype=bool)
+            self.met[spot] = True
+            start = np.concatenate([self.start[: self.n], self.used + begin])
+            size = np.concatenate([self.size[: self.n], sizes])
+            pool = np.concatenate([self.pool[: self.used], ids])
+            index = index.astype(np.int64)
+            index[missing] = self.n + which
+            if keep.any():
+                self._insert(new[keep], ids[np.repeat(keep, sizes)], sizes[keep])
+        counts = size[index].astype(np.int64)
+        stop = np.cumsum(counts)
+        out = pool[np.repeat(start[index] - (stop - counts), counts) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        return out, np.diff(np.append(0, stop)[first])
 
 
 def encoder(path):
