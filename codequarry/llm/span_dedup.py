@@ -226,13 +226,13 @@ def repeated_spans(docs, length):
     columns = ["h", "fp", "base", "words", "shard"]
     spans = whole.select(columns).unionByName(split.select(columns)).groupBy("shard").applyInArrow(lambda t: matched(t), f"h long, fp long, spans {_SPANS}")
     spans = spans.select("h", "fp", F.explode("spans").alias("s")).groupBy("h", "fp").agg(F.collect_list("s").alias("spans"))
-    verdicts = known.df.join(spans, ["h", "fp"], "left").filter("times > 1 or spans is not null")
-    hit = runs.df.join(verdicts, ["h", "fp"])
+    verdicts = Table(known.df.join(spans, ["h", "fp"], "left").filter("times > 1 or spans is not null"))
+    hit = runs.df.join(verdicts.df, ["h", "fp"])  # of two tables: Spark can split a frequent run's places
     everything = F.array(F.struct(F.lit(0).alias("o"), F.col("n").alias("n")))
     hit = hit.select("k1", "k2", "start", F.explode(F.when(F.col("times") > 1, everything).otherwise(F.col("spans"))).alias("s"))
     hit = hit.select("k1", "k2", (F.col("start") + F.col("s.o")).alias("o"), F.col("s.n").alias("n")).distinct()
     out = Table(hit.groupBy("k1", "k2").agg(F.collect_list(F.struct("o", "n")).alias("spans")))
-    for t in (runs, known, shards):
+    for t in (runs, known, shards, verdicts):
         t.drop()
     return out.df
 
