@@ -1,9 +1,10 @@
 """The queries of this subpackage, op1_ to op10_, and their SQL where there is any."""
 
-from codequarry.llm import packing, span_dedup, token_codes
+from codequarry.llm import line_dedup, packing, quality, span_dedup, token_codes
 from codequarry.llm.workspace import folder
 
 LENGTH = 35
+RATIO, MIN_PAGES = 0.1, 5
 
 
 def tokenizer(name="word_bpe_49k.json"):
@@ -26,13 +27,24 @@ def op2_span_dedup(spark, sf_dir):
     return span_dedup.digest(documents(spark, sf_dir), LENGTH)
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.drop_boilerplate(documents(spark, sf_dir), "source", RATIO, MIN_PAGES).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op10_quality_rules(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    trusted = labels.filter("quality = 1 and toxic = 0")
+    out = quality.judged(documents(spark, sf_dir).select("doc_id", "text"), trusted)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op9_best_fit_packing(spark, sf_dir):
     return packing.packed(documents(spark, sf_dir), tokenizer(), end_id=0, capacity=2048)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_codes, op2_span_dedup, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_codes, op2_span_dedup, op3_line_dedup, op9_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql():
-    return {}
+    return {"op3_line_dedup": line_dedup.ORACLE.format(ratio=RATIO, min_pages=MIN_PAGES)}
