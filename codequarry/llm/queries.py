@@ -1,6 +1,8 @@
 """The queries of this subpackage, op1_ to op10_, and their SQL where there is any."""
 
-from codequarry.llm import line_dedup, packing, quality, span_dedup, token_codes
+from pyspark.sql import functions as F
+
+from codequarry.llm import language, line_dedup, packing, quality, span_dedup, token_codes
 from codequarry.llm.workspace import folder
 
 LENGTH = 35
@@ -31,6 +33,12 @@ def op3_line_dedup(spark, sf_dir):
     return line_dedup.drop_boilerplate(documents(spark, sf_dir), "source", RATIO, MIN_PAGES).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.prototypes(docs.filter("not held_out"))
+    return language.identified(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_quality_rules(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     trusted = labels.filter("quality = 1 and toxic = 0")
@@ -43,7 +51,7 @@ def op9_best_fit_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_codes, op2_span_dedup, op3_line_dedup, op9_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_codes, op2_span_dedup, op3_line_dedup, op8_language_id, op9_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql():
