@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontam, language, line_dedup, packing, quality, span_dedup, token_codes
+from codequarry.llm import decontam, jaccard_join, language, line_dedup, packing, quality, span_dedup, token_codes
 from codequarry.llm.workspace import folder
 
 LENGTH = 35
@@ -37,6 +37,10 @@ def op4_decontamination(spark, sf_dir):
     return decontam.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.groups(documents(spark, sf_dir))
+
+
 def op8_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
     model = language.prototypes(docs.filter("not held_out"))
@@ -55,7 +59,7 @@ def op9_best_fit_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_codes, op2_span_dedup, op3_line_dedup, op4_decontamination, op8_language_id, op9_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_codes, op2_span_dedup, op3_line_dedup, op4_decontamination, op5_jaccard_join, op8_language_id, op9_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql():
