@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontam, jaccard_join, language, line_dedup, packing, quality, span_dedup, token_codes
+from codequarry.llm import decontam, jaccard_join, language, line_dedup, packing, quality, secrets, sharding, span_dedup, token_codes
 from codequarry.llm.workspace import folder
 
 LENGTH = 35
 RATIO, MIN_PAGES = 0.1, 5
+TARGET_BYTES, ARRIVALS = 128 << 20, 3
 
 
 def tokenizer(name="word_bpe_49k.json"):
@@ -41,6 +42,20 @@ def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.groups(documents(spark, sf_dir))
 
 
+def op6_secret_scan(spark, sf_dir):
+    return secrets.scanned(documents(spark, sf_dir))
+
+
+def op7_sharding(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    table = sharding.ShardTable(spark, folder(spark), docs.schema, TARGET_BYTES)
+    for arrival in range(ARRIVALS):
+        table.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == arrival))
+        table.compact()
+        table.vacuum()
+    return table.read()
+
+
 def op8_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language.held_out(F.col("doc_id")))
     model = language.prototypes(docs.filter("not held_out"))
@@ -59,8 +74,8 @@ def op9_best_fit_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_codes, op2_span_dedup, op3_line_dedup, op4_decontamination, op5_jaccard_join, op8_language_id, op9_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_codes, op2_span_dedup, op3_line_dedup, op4_decontamination, op5_jaccard_join, op6_secret_scan, op7_sharding, op8_language_id, op9_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql():
-    return {"op3_line_dedup": line_dedup.ORACLE.format(ratio=RATIO, min_pages=MIN_PAGES)}
+    return {"op3_line_dedup": line_dedup.ORACLE.format(ratio=RATIO, min_pages=MIN_PAGES), "op7_sharding": "SELECT doc_id, text, lang, source, n_chars FROM documents"}
