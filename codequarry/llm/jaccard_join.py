@@ -10,8 +10,9 @@ Method: an exact join in the metric space of the Jaccard distance.
 3. Each shared token is a region with a pivot, the class of the smallest
    signature that has the token; regions with one pivot are one region.  All
    members are compared with the pivot only, so a group of n near copies costs n
-   comparisons.  Links make members one component.
-4. Inside a region members of different components are joined recursively with
+   comparisons: first each class with the least of its pivots.  Links make
+   members one component; regions of a single component are done.
+4. Inside the others members of different components are joined recursively with
    new pivots; distances to pivots d(x, p) give windows: members whose
    distances differ by more than 1 - t can't be linked (triangle inequality).
    Members of one component are not compared any more, as they are connected.
@@ -121,54 +122,64 @@ def _sets(texts):
 
 
 def _regions(table, percent):
-    """Rows (p, salt, salts, a, rep, text, d, part) of whole regions or blocks to links and, of blocks, distances to the pivot."""
+    """Rows (p, salt, salts, a, rep, text, label, d, part) of regions or blocks of them to links and, of blocks, distances to the pivot.
+
+    part: -2 to compare with the pivot alone, -1 for a region, else a pair of
+    blocks of what a pivot has left open.
+    """
     codes = table.column("text").combine_chunks()
     codes = codes if isinstance(codes, pa.DictionaryArray) else codes.dictionary_encode()
     codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
     sets, which = _sets(codes.dictionary), codes.indices.to_numpy()
-    p, salt, salts, a, rep, part = (table.column(c).to_numpy() for c in ("p", "salt", "salts", "a", "rep", "part"))
+    p, salt, salts, a, rep, label, part = (table.column(c).to_numpy() for c in ("p", "salt", "salts", "a", "rep", "label", "part"))
     d = table.column("d").to_numpy(zero_copy_only=False).astype(float)
     order = np.lexsort((rep, a != p, part, salt, p))
     cut = np.flatnonzero(np.append(True, np.any(np.stack([x[order][1:] != x[order][:-1] for x in (p, salt, part)]), axis=0)))
-    u, v, open_ = [], [], ([], [], [])
+    u, v, open_ = [], [], ([], [], [], [])
     for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
         rows = order[lo:hi]
         own = [sets[k] for k in which[rows].tolist()]
-        if part[rows[0]] >= 0:  # what a pivot left open: those linked to it, at d within reach, are one component
-            near = 1 - d[rows] >= percent / 100 - 1e-12
-            label = np.where(near, 0, np.arange(1, len(rows) + 1))
-            found = resolve(own, label, d[rows], percent)
-        elif salts[rows[0]] == 1:
-            found = resolve(own, np.arange(len(rows)), None, percent)
+        if part[rows[0]] >= 0:
+            found = resolve(own, np.unique(label[rows], return_inverse=True)[1], d[rows], percent)
+        elif part[rows[0]] == -1 and salts[rows[0]] == 1:
+            found = resolve(own, np.unique(label[rows], return_inverse=True)[1], None, percent)
         else:
-            found, pivots = [], [k for k in range(len(rows)) if a[rows[k]] == p[rows[k]]]
-            pivot = own[pivots[0]]
-            for k in range(len(rows)):
-                inter = int(np.isin(own[k], pivot, assume_unique=True).sum())
-                if k in pivots[1:] or k == pivots[0]:
+            found, pivot = [], own[0]  # the pivot's row comes first
+            for k in range(1, len(rows)):
+                if a[rows[k]] == p[rows[k]]:
                     continue
-                if linked(inter, len(pivot), len(own[k]), percent):
-                    found.append((pivots[0], k))
-                for to, x in zip(open_, (p[rows[k]], a[rows[k]], 1 - inter / (len(pivot) + len(own[k]) - inter)), strict=True):
-                    to.append(x)
+                inter = int((pivot[np.minimum(np.searchsorted(pivot, own[k]), len(pivot) - 1)] == own[k]).sum())
+                near = linked(inter, len(pivot), len(own[k]), percent)
+                if near:
+                    found.append((0, k))
+                if part[rows[0]] == -1:
+                    for to, x in zip(open_, (p[rows[k]], a[rows[k]], 1 - inter / (len(pivot) + len(own[k]) - inter), label[rows[0 if near else k]]), strict=True):
+                        to.append(x)
         u += [int(rep[rows[i]]) for i, _ in found]
         v += [int(rep[rows[j]]) for _, j in found]
     n, m = len(u), len(open_[0])
-    return pa.table({"u": pa.array(u + [None] * m, pa.int64()), "v": pa.array(v + [None] * m, pa.int64()), "p": pa.array([None] * n + open_[0], pa.int64()), "a": pa.array([None] * n + open_[1], pa.int64()), "d": pa.array([None] * n + open_[2], pa.float64())})
+    none = [None] * n
+    return pa.table({"u": pa.array(u + [None] * m, pa.int64()), "v": pa.array(v + [None] * m, pa.int64()), "p": pa.array(none + open_[0], pa.int64()), "a": pa.array(none + open_[1], pa.int64()), "d": pa.array(none + open_[2], pa.float64()), "label": pa.array(none + open_[3], pa.int64())})
 
 
-_OUT = "u long, v long, p long, a long, d double"
+_OUT = "u long, v long, p long, a long, d double, label long"
 
 
 def _joined(rows, contents, percent):
-    """Links and open distances of rows (p, salt, salts, a, d, part), whose texts are in contents (a, rep, n, text)."""
-    rows = rows.join(contents, "a")
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    """Links and open distances of rows (p, salt, salts, a, label, d, part), whose texts are in contents (a, rep, n, text)."""
+    total = rows.join(contents.select("a", "n"), "a").agg(F.sum("n")).first()[0] or 0
     batches = int(total // BATCH_SHINGLES) + 1
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("p", "salt", "part"), F.lit(batches)))
+    rows = rows.join(contents, "a").withColumn("batch", F.pmod(F.xxhash64("p", "salt", "part"), F.lit(batches)))
     return rows.groupBy("batch").applyInArrow(lambda t: _regions(t, percent), _OUT)
 
 
+def _dealt(members, sizes, part):
+    """Rows for _joined from members (p, a, label), the pivots among them: large regions in blocks, to each of which the pivot goes."""
+    weights = members.join(sizes, "a").groupBy("p").agg((F.floor(F.sum("n") / BLOCK_SHINGLES) + 1).alias("salts"))
+    salt = F.when(F.col("a") == F.col("p"), F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("a"), F.col("salts"))))
+    return members.join(weights, "p").withColumn("salt", F.explode(salt)).withColumns({"d": F.lit(None).cast("double"), "part": F.lit(part).cast("long")})
+
+
 def groups(docs, percent=75):
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text).
 
@@ -248,23 +259,32 @@ def groups(docs, percent=75):
     found = docs.select("text").mapInArrow(texts, "a long, b long, text string").groupBy("a", "b").agg(F.first("text").alias("text"))
     contents = Table(found.join(classes, ["a", "b"]).select("a", "rep", "n", "text"))
     sizes = contents.df.groupBy("a").agg(F.max("n").alias("n"))
-    everyone = members.df.union(members.df.select("p", F.col("p").alias("a")).distinct())
-    weights = everyone.join(sizes, "a").groupBy("p").agg((F.floor(F.sum("n") / BLOCK_SHINGLES) + 1).alias("salts"))
-    dealt = everyone.join(weights, "p").withColumn("salt", F.explode(F.when(F.col("a") == F.col("p"), F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("a"), F.col("salts"))))))
-    first = Table(_joined(dealt.withColumns({"d": F.lit(None).cast("double"), "part": F.lit(-1).cast("long")}), contents.df, percent))
-    links = first.df.filter("u is not null").select("u", "v")
-    open_ = first.df.filter("p is not null").select("p", "a", "d")
-    far = open_.filter(1 - F.col("d") < percent / 100 - 1e-12).groupBy("p").agg(F.min("d").alias("least"))
+    own = F.col("p").alias("a")
+    # first each member with the least of its pivots: near copies become components
+    nearest = members.df.groupBy("a").agg(F.min("p").alias("p")).select("p", "a")
+    nearest = nearest.union(nearest.select("p", own).distinct()).withColumn("label", F.lit(0).cast("long"))
+    first = Table(_joined(_dealt(nearest, sizes, -2), contents.df, percent).select("u", "v"))
+    known = components(first.df)
+    # then the regions whose members are of several components
+    everyone = members.df.union(members.df.select("p", own).distinct())
+    labels = contents.df.select("a", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left").groupBy("a").agg(F.min(F.coalesce("component", "rep")).alias("label"))
+    everyone = Table(everyone.join(labels, "a").select("p", "a", "label"))
+    mixed = everyone.df.groupBy("p").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("p")
+    second = Table(_joined(_dealt(everyone.df.join(mixed, "p"), sizes, -1), contents.df, percent))
+    open_ = second.df.filter("p is not null").select("p", "a", "d", "label")
+    pivots = everyone.df.filter("a = p").select("p", F.col("label").alias("own"))
+    far = open_.join(pivots, "p").filter("label <> own").groupBy("p").agg(F.min("d").alias("least"))
     left = open_.join(far, "p").filter(F.col("d") >= F.col("least") - (1 - percent / 100) - 1e-9)
     weight = left.join(sizes, "a").groupBy("p").agg((F.floor(F.sum("n") / BLOCK_SHINGLES) + 1).alias("k"))
     left = left.join(weight, "p").withColumn("block", F.pmod(F.xxhash64("a"), F.col("k")))
     # each pair of blocks meets once: part = smaller * k + larger
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
     left = left.withColumn("other", other).withColumn("part", F.least("block", "other") * F.col("k") + F.greatest("block", "other"))
-    again = left.select("p", F.lit(0).cast("long").alias("salt"), F.lit(1).cast("long").alias("salts"), "a", "d", "part")
+    again = left.select("p", F.lit(0).cast("long").alias("salt"), F.lit(1).cast("long").alias("salts"), "a", "label", "d", "part")
     more = _joined(again, contents.df, percent).select("u", "v")
+    links = first.df.unionByName(second.df.filter("u is not null").select("u", "v"))
     grouped = components(links.unionByName(more))
-    for t in (members, contents, first):
+    for t in (members, contents, first, everyone, second):
         t.drop()
     named = classes.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("component_id"))
     named = named.withColumn("component_id", F.when(F.col("component_id") < _FAR, F.col("component_id")))
