@@ -3,10 +3,12 @@
 Method: an exact join in the metric space of the Jaccard distance.
 
 1. Documents with equal sets are one class; a class has a 128-bit signature.
-2. Two classes can only reach the threshold if they share a token of their
-   prefixes: the `n - ceil(t * n) + 1` rarest shingles of a set of n.  Rarity is
-   the number of occurrences, over all documents, of the shingle's bucket (a
-   histogram of fixed size), which keeps frequent passages out of prefixes.
+2. Two classes can only reach the threshold if they share tokens of their
+   prefixes: of the `n - ceil(t * n) + e(n)` rarest shingles of a set of n at
+   least the lesser of their two e.  Rarity is the number of occurrences, over
+   all documents, of the shingle's bucket (a histogram of fixed size), which
+   keeps frequent passages out of prefixes.  Documents too few of whose tokens
+   occur again have no partner.
 3. Each shared token is a region with a pivot, the class of the smallest
    signature that has the token; regions with one pivot are one region.  All
    members are compared with the pivot only, so a group of n near copies costs n
@@ -35,7 +37,9 @@ from codequarry.llm.textkit import Kit, blocks, mix, signed
 from codequarry.llm.workspace import Table, bitmap, in_bitmap
 
 HISTOGRAM = 1 << 14
-BITS = 26
+BITS = 27
+#: Percent of a set by which prefixes are longer than they must be.  Partners then share more than one token of them.
+EXTRA = 10
 BLOCK_SHINGLES = 1_000_000
 BATCH_SHINGLES = 2_000_000
 _FAR = 1 << 62
@@ -58,15 +62,20 @@ def place(g):
     return (g >> np.uint64(50)).astype(np.int64)
 
 
+def extra(n):
+    """Tokens of a prefix beyond the necessary ones."""
+    return np.maximum(1, n * EXTRA // 100)
+
+
 def prefix_rows(g, offsets, often, percent):
-    """(shingle, document) of the prefixes of sets."""
+    """(shingle, document) of the prefixes of sets, and how many tokens each document must share to have a partner."""
     n = np.diff(offsets)
     doc = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((g, often[place(g)], doc))
     rank = np.arange(len(g)) - np.repeat(offsets[:-1], n)
     need = -(-percent * n // 100)
-    keep = rank < (n - need + 1)[doc]
-    return g[order][keep], doc[keep]
+    keep = rank < (n - need + extra(n))[doc]
+    return g[order][keep], doc[keep], extra(need)
 
 
 def linked(inter, n, m, percent):
@@ -218,29 +227,33 @@ def groups(docs, percent=75):
     unnamed = F.col("a").bitwiseAND(F.lit(_FAR - 1)) + F.lit(_FAR)
     classes = rows.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("rep", F.coalesce("rep", unnamed))
 
-    def prefixes(only=None):
+    def prefixes(shared=None):
         def emit(batches):
             kit, seen = Kit(), set()
             for batch in batches:
                 for _, data, off in blocks(batch.column(0)):
                     g, offsets = kit.shingle_sets(data, off)
                     a, _ = signatures(g, offsets)
-                    h, doc = prefix_rows(g, offsets, often.value, percent)
+                    h, doc, least = prefix_rows(g, offsets, often.value, percent)
                     if len(seen) > 500_000:
                         seen.clear()
                     # copies that this task has met give nothing new
                     new = np.array([x not in seen and not seen.add(x) for x in a.tolist()], dtype=bool)
-                    keep = new[doc]
-                    if only is not None:
-                        keep &= in_bitmap(only.value, h)
+                    if shared is None:
+                        yield pa.record_batch([signed(h[new[doc]])], ["h"])
+                        continue
+                    some = in_bitmap(shared.value, h)
+                    new &= np.bincount(doc[some], minlength=len(new)) >= least
+                    keep = some & new[doc]
                     yield pa.record_batch([signed(h[keep]), signed(a[doc[keep]])], ["h", "a"])
 
-        return docs.select("text").mapInArrow(emit, "h long, a long")
+        return docs.select("text").mapInArrow(emit, "h long" if shared is None else "h long, a long")
 
-    shared = Table(prefixes().groupBy("h").agg(F.min("a").alias("p"), F.max("a").alias("q")).filter("p < q").select("h", "p"))
-    tokens = prefixes(spark.sparkContext.broadcast(bitmap(shared.df, "h", BITS)))
-    members = Table(tokens.join(shared.df, "h").filter("a <> p").select("p", "a").distinct())
-    shared.drop()
+    shared = bitmap(prefixes().groupBy("h").count().filter("count > 1"), "h", BITS)
+    tokens = Table(prefixes(spark.sparkContext.broadcast(shared)))
+    pivots = tokens.df.groupBy("h").agg(F.min("a").alias("p"), F.max("a").alias("q")).filter("p < q").select("h", "p")
+    members = Table(tokens.df.join(pivots, "h").filter("a <> p").select("p", "a").distinct())
+    tokens.drop()
     ids = members.df.select("a").union(members.df.select(F.col("p").alias("a"))).distinct()
     wanted = spark.sparkContext.broadcast(bitmap(ids, "a", BITS))
 
