@@ -13,9 +13,9 @@ Method: an exact join in the metric space of the Jaccard distance.
    signature that has the token; regions with one pivot are one region.  All
    members are compared with the pivot only, so a group of n near copies costs n
    comparisons: first each class with the least of its pivots.  Links make
-   members one component; regions of a single component are done.
-4. Inside the others members of different components are joined recursively with
-   new pivots; distances to pivots d(x, p) give windows: members whose
+   members one component.  Only documents that share enough tokens with other
+   components go on, in the regions of these tokens.
+4. There members of different components are joined recursively with new pivots; distances to pivots d(x, p) give windows: members whose
    distances differ by more than 1 - t can't be linked (triangle inequality).
    Members of one component are not compared any more, as they are connected.
 5. A region of more than BLOCK_SHINGLES is dealt into blocks, to each of which
@@ -243,18 +243,20 @@ def groups(docs, percent=75):
                         yield pa.record_batch([signed(h[new[doc]])], ["h"])
                         continue
                     some = in_bitmap(shared.value, h)
-                    new &= np.bincount(doc[some], minlength=len(new)) >= least
+                    many = np.bincount(doc[some], minlength=len(new))
+                    new &= (many >= least) & (many > 0)
                     keep = some & new[doc]
-                    yield pa.record_batch([signed(h[keep]), signed(a[doc[keep]])], ["h", "a"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many[new])).astype(np.int32)), signed(h[keep]))
+                    yield pa.record_batch([signed(a[new]), pa.array(least[new].astype(np.int64)), lists], ["a", "least", "tokens"])
 
-        return docs.select("text").mapInArrow(emit, "h long" if shared is None else "h long, a long")
+        return docs.select("text").mapInArrow(emit, "h long" if shared is None else "a long, least long, tokens array<long>")
 
     shared = bitmap(prefixes().groupBy("h").count().filter("count > 1"), "h", BITS)
-    tokens = Table(prefixes(spark.sparkContext.broadcast(shared)))
-    pivots = tokens.df.groupBy("h").agg(F.min("a").alias("p"), F.max("a").alias("q")).filter("p < q").select("h", "p")
-    members = Table(tokens.df.join(pivots, "h").filter("a <> p").select("p", "a").distinct())
-    tokens.drop()
-    ids = members.df.select("a").union(members.df.select(F.col("p").alias("a"))).distinct()
+    candidates = Table(prefixes(spark.sparkContext.broadcast(shared)).groupBy("a").agg(F.first("least").alias("least"), F.first("tokens").alias("tokens")))
+    tokens = candidates.df.select(F.explode("tokens").alias("h"), "a")
+    pivots = tokens.groupBy("h").agg(F.min("a").alias("p"), F.max("a").alias("q")).filter("p < q").select("h", "p")
+    nearest = Table(tokens.join(pivots, "h").groupBy("a").agg(F.min("p").alias("p")).select("p", "a"))
+    ids = nearest.df.select("a")
     wanted = spark.sparkContext.broadcast(bitmap(ids, "a", BITS))
 
     def texts(batches):
@@ -273,17 +275,22 @@ def groups(docs, percent=75):
     contents = Table(found.join(classes, ["a", "b"]).select("a", "rep", "n", "text"))
     sizes = contents.df.groupBy("a").agg(F.max("n").alias("n"))
     own = F.col("p").alias("a")
-    # first each member with the least of its pivots: near copies become components
-    nearest = members.df.groupBy("a").agg(F.min("p").alias("p")).select("p", "a")
-    nearest = nearest.union(nearest.select("p", own).distinct()).withColumn("label", F.lit(0).cast("long"))
-    first = Table(_joined(_dealt(nearest, sizes, -2), contents.df, percent).select("u", "v"))
+    # first each candidate with the least of its pivots: near copies become components
+    once = nearest.df.filter("p < a")
+    once = once.union(once.select("p", own).distinct()).withColumn("label", F.lit(0).cast("long"))
+    first = Table(_joined(_dealt(once, sizes, -2), contents.df, percent).select("u", "v"))
     known = components(first.df)
-    # then the regions whose members are of several components
-    everyone = members.df.union(members.df.select("p", own).distinct())
+    # then those that share enough tokens with other components, in the regions of these tokens
     labels = contents.df.select("a", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left").groupBy("a").agg(F.min(F.coalesce("component", "rep")).alias("label"))
-    everyone = Table(everyone.join(labels, "a").select("p", "a", "label"))
-    mixed = everyone.df.groupBy("p").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("p")
-    second = Table(_joined(_dealt(everyone.df.join(mixed, "p"), sizes, -1), contents.df, percent))
+    labelled = candidates.df.join(labels, "a").select(F.explode("tokens").alias("h"), "a", "least", "label")
+    mixed = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h")
+    across = Table(labelled.join(mixed, "h"))
+    enough = across.df.groupBy("a").agg(F.count("*").alias("n"), F.first("least").alias("least")).filter("n >= least").select("a")
+    left = across.df.join(enough, "a", "left_semi").select("h", "a", "label")
+    pivots = left.groupBy("h").agg(F.min(F.struct("a", "label")).alias("p"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
+    members = left.join(pivots.select("h", "p"), "h").select(F.col("p.a").alias("p"), "a", "label", F.col("p.label").alias("own")).distinct()
+    everyone = Table(members.select("p", "a", "label").union(members.select("p", own, F.col("own").alias("label"))).distinct())
+    second = Table(_joined(_dealt(everyone.df, sizes, -1), contents.df, percent))
     open_ = second.df.filter("p is not null").select("p", "a", "d", "label")
     pivots = everyone.df.filter("a = p").select("p", F.col("label").alias("own"))
     far = open_.join(pivots, "p").filter("label <> own").groupBy("p").agg(F.min("d").alias("least"))
@@ -297,7 +304,7 @@ def groups(docs, percent=75):
     more = _joined(again, contents.df, percent).select("u", "v")
     links = first.df.unionByName(second.df.filter("u is not null").select("u", "v"))
     grouped = components(links.unionByName(more))
-    for t in (members, contents, first, everyone, second):
+    for t in (candidates, nearest, contents, first, across, everyone, second):
         t.drop()
     named = classes.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", F.coalesce("component", "rep").alias("component_id"))
     named = named.withColumn("component_id", F.when(F.col("component_id") < _FAR, F.col("component_id")))
