@@ -13,7 +13,7 @@ under a salt that spreads a large site.
 
 from pyspark.sql import functions as F
 
-from codequarry.llm.workspace import Table
+from codequarry.llm.workspace import Table, fresh
 
 #: Most listed lines (8 bytes each) that are broadcast.
 BROADCAST_LINES = 500_000
@@ -42,21 +42,23 @@ def drop_boilerplate(docs, site="source", ratio=0.1, min_pages=5):
     """
     listed = Table(boilerplate(docs, site, ratio, min_pages)).df
     n = listed.agg(F.sum(F.size("lines"))).first()[0] or 0
-    key = F.coalesce(F.col(site).cast("string"), F.lit(""))
-    docs = docs.drop("n_lines", "n_removed").withColumn("_site", key)
-    listed = listed.select(F.col("site").alias("_site"), F.col("lines").alias("_lines"))
+    docs = docs.drop("n_lines", "n_removed")
+    site_, listed_, salt_, kept_ = (fresh(docs, n) for n in ("_site", "_listed", "_salt", "_kept"))
+    docs = docs.withColumn(site_, F.coalesce(F.col(site).cast("string"), F.lit("")))
+    listed = listed.select(F.col("site").alias(site_), F.col("lines").alias(listed_))
     if n <= BROADCAST_LINES:
-        both = docs.join(F.broadcast(listed), "_site", "left")
+        both = docs.join(F.broadcast(listed), site_, "left")
     else:
-        salted = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        both = docs.withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(salted, ["_site", "_salt"], "left").drop("_salt")
+        salted = listed.withColumn(salt_, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")
+        both = docs.withColumn(salt_, spread).join(salted, [site_, salt_], "left").drop(salt_)
     lines = F.split("text", "\n")
-    kept = F.when(F.col("_lines").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_lines", F.xxhash64(x))))
-    both = both.withColumns({"_kept": kept, "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long")})
-    # size of a null array is -1 or null by setting
-    both = both.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")))
-    both = both.withColumns({"n_removed": F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"), "text": F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))})
-    return both.drop("_site", "_lines", "_kept")
+    none = F.col("text").isNull()
+    kept = F.when(F.col(listed_).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(listed_, F.xxhash64(x))))
+    both = both.withColumns({kept_: kept, "n_lines": F.when(none, 0).otherwise(F.size(lines)).cast("long")})
+    removed = F.when(none, 0).otherwise(F.col("n_lines") - F.size(kept_)).cast("long")
+    text = F.when(F.col(listed_).isNull(), F.col("text")).otherwise(F.array_join(kept_, "\n"))
+    return both.withColumns({"n_removed": removed, "text": text}).drop(site_, listed_, kept_)
 
 
 ORACLE = """

@@ -9,6 +9,8 @@ only counts of buckets are shuffled.
 
 from pyspark.sql import functions as F
 
+from codequarry.llm.workspace import fresh
+
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 14
 #: Trusted documents that the target is made of at most, by the hash of their id.
@@ -45,13 +47,14 @@ def base(docs):
         step = lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last"))
         return F.aggregate(let(grams, positions), start, step, lambda a: a["n"])
 
+    both = fresh(docs, "_both")
     out = docs.withColumns({
-        "_m": let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), covered(w).cast("long").alias("r"))),
+        both: let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), covered(w).cast("long").alias("r"))),
         "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     })
-    out = out.withColumns({"n_words": F.col("_m.n"), "n_repeat_words": F.col("_m.r")}).drop("_m")
+    out = out.withColumns({"n_words": F.col(both)["n"], "n_repeat_words": F.col(both)["r"]}).drop(both)
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 

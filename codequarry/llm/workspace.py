@@ -55,6 +55,13 @@ class Table:
         drop(self.spark, self.path)
 
 
+def fresh(df, name):
+    """A column name that df hasn't."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def bitmap(df, column, bits=23):
     """A bitmap of 2**bits places (a fixed size, whatever the input) of the values of a long column.
 
