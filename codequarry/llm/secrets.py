@@ -18,6 +18,8 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from codequarry.llm.workspace import Table
+
 # The patterns of the contract
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -154,11 +156,12 @@ def examples(docs):
                     out.update((KINDS[s[1]], credential(x, s)) for s in base_spans(x))
             yield pa.record_batch([pa.array([k for k, _ in out], pa.string()), pa.array([v for _, v in out], pa.string())], ["kind", "value"])
 
-    found = docs.select("text").mapInArrow(label, "kind string, value string").distinct()
-    table = {}
+    written = Table(docs.select("text").mapInArrow(label, "kind string, value string").distinct())
+    found, table = written.df, {}
     for kind in KINDS[:3]:
         rows = found.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(EXAMPLES).collect()
         table[kind] = sorted(r["value"] for r in rows)
+    written.drop()
     return table
 
 
