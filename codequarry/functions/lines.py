@@ -125,3 +125,28 @@ def patched(c: Column, start: Column, end: Column, replacement: Column) -> Colum
 def new_imports(imports: Column, source: Column) -> Column:
     """Distinct trimmed imports, in order, that the source hasn't."""
     return F.filter(F.array_distinct(F.filter(F.transform(imports, strip), lambda x: x != "")), lambda x: ~F.contains(source, x))
+
+
+IMPORT = r"\A\s*(import\b|from\s+\S+\s+import\b|(const|let|var)\s+.*=\s*require\(|#include\b|using\s+[\w.]+;)"
+
+
+def context(c: Column, start: Column, end: Column, limit: int = 12000, pad: int = 25) -> Column:
+    """What a repair is shown: the whole numbered text up to `limit` characters, else its imports and the region with `pad` lines on both sides."""
+
+    def part(x):
+        lo, hi = F.greatest(F.lit(1), start - pad), F.least(F.size(x), end + pad)
+        width = F.length(F.size(x).cast("string"))
+        near = F.transform(F.slice(x, lo, F.greatest(hi - lo + 1, F.lit(0))), lambda s, i: F.concat(F.lpad((i + lo).cast("string"), width, " "), F.lit(" | "), s))
+        imports = F.array_join(F.filter(x, lambda s: s.rlike(IMPORT)), "\n")
+        pieces = F.filter(F.array(imports, F.array_join(near, "\n")), lambda p: strip(p) != "")
+        return F.array_join(pieces, "\n\n")
+
+    return F.when(F.length(c) <= limit, numbered(c)).otherwise(let(split_lines(c), part))
+
+
+def prompt(template: str, **values: Column) -> Column:
+    """A template with its {names} replaced by columns; null is empty."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out

@@ -166,3 +166,11 @@ def test_accept_batches(spark, tmp_path):
     stream = spark.readStream.schema("id long, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     streams.accept_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "id", "text")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_context_and_prompt(spark):
+    text = "import os\n" + "\n".join(f"line {i}" for i in range(2, 101))
+    whole, part = column(spark, ["a\nb", text], lambda c: L.context(c, F.lit(50), F.lit(51), limit=100, pad=1))
+    assert whole == "1 | a\n2 | b"
+    assert part == "import os\n\n 49 | line 49\n 50 | line 50\n 51 | line 51\n 52 | line 52"
+    assert column(spark, ["x", None], lambda c: L.prompt("fix {code} now", code=c)) == ["fix x now", "fix  now"]
