@@ -89,20 +89,19 @@ def _select(expression):
     return f"SELECT id, {expression} AS reason FROM {_S}"
 
 
-_code, _context = F.col("code"), F.col("context")
 _XSS_SINK = (r"""\.innerHTML\s*=(?:[^'"`]|\z)""", r"""document\.write\s*\((?:[^'"`]|\z)""")
 _SANITIZER = literal(gates.SANITIZER)
-_gate("xss_gate", lambda: gates.xss_gate(_code, _context), _select(_case((f"{_match('code', *_XSS_SINK)} AND NOT regexp_matches(code, {_SANITIZER})", "unsafe sink"), (f"{_match('code', *_XSS_SINK)} AND NOT contains(context, regexp_extract(code, {_SANITIZER}, 1))", "unknown sanitizer"))))
-_gate("cmd_gate", lambda: gates.command_gate(_code), _select(_case((_match("code", r"shell\s*=\s*True"), "shell"), (_match("code", r"os\.system\s*\(|popen\s*\("), "shell call"))))
-_gate("deser_gate", lambda: gates.deserialization_gate(_code), _select(_case((_match("code", r"\beval\s*\(|\bpickle\.loads\s*\("), "unsafe call"), (_match("code", r"yaml\.load\s*\(") + " AND NOT contains(code, 'Loader=') AND NOT contains(code, 'safe_load')", "unsafe yaml"))))
-_gate("xml_gate", lambda: gates.xml_gate(_code), _select(_case(("NOT " + _match("code", gates.XML_SAFE), "entities not disabled"))))
+_gate("xss_gate", lambda: gates.xss_gate(F.col("code"), F.col("context")), _select(_case((f"{_match('code', *_XSS_SINK)} AND NOT regexp_matches(code, {_SANITIZER})", "unsafe sink"), (f"{_match('code', *_XSS_SINK)} AND NOT contains(context, regexp_extract(code, {_SANITIZER}, 1))", "unknown sanitizer"))))
+_gate("cmd_gate", lambda: gates.command_gate(F.col("code")), _select(_case((_match("code", r"shell\s*=\s*True"), "shell"), (_match("code", r"os\.system\s*\(|popen\s*\("), "shell call"))))
+_gate("deser_gate", lambda: gates.deserialization_gate(F.col("code")), _select(_case((_match("code", r"\beval\s*\(|\bpickle\.loads\s*\("), "unsafe call"), (_match("code", r"yaml\.load\s*\(") + " AND NOT contains(code, 'Loader=') AND NOT contains(code, 'safe_load')", "unsafe yaml"))))
+_gate("xml_gate", lambda: gates.xml_gate(F.col("code")), _select(_case(("NOT " + _match("code", gates.XML_SAFE), "entities not disabled"))))
 _CALLS = f"regexp_extract_all(code, {literal(gates.SQL_CALL)}, 1)"
-_gate("sql_gate", lambda: gates.sql_gate(_code), _select(_case((f"{_match('code', gates.SQL_WORD)} AND {_match('code', *gates.SQL_JOINED)}", "concatenated"), (f"{_match('code', gates.SQL_BOUND)} AND len({_CALLS}) > 0 AND len(list_filter({_CALLS}, lambda x: contains(x, ','))) = 0", "unbound placeholder"))))
+_gate("sql_gate", lambda: gates.sql_gate(F.col("code")), _select(_case((f"{_match('code', gates.SQL_WORD)} AND {_match('code', *gates.SQL_JOINED)}", "concatenated"), (f"{_match('code', gates.SQL_BOUND)} AND len({_CALLS}) > 0 AND len(list_filter({_CALLS}, lambda x: contains(x, ','))) = 0", "unbound placeholder"))))
 _VAR = f"regexp_extract(code, {literal(gates.PATH_VARIABLE)}, 1)"
 _USED = f"regexp_extract_all(code, {literal(gates.PATH_SINK)}, 1)"
 _gate(
     "path_gate",
-    lambda: gates.path_gate(F.lit("fs.readFile(name)"), _code),
+    lambda: gates.path_gate(F.lit("fs.readFile(name)"), F.col("code")),
     _select(_case(("NOT " + _match("code", gates.PATH_RESOLVE), "no resolve"), ("NOT " + _match("code", gates.PATH_INSIDE), "no containment"), (_match("code", gates.PATH_PREFIX) + " AND NOT contains(code, 'path.relative(') AND NOT contains(code, 'os.path.commonpath')", "naive prefix"), (f"{_VAR} <> '' AND {_VAR} <> 'name' AND list_contains({_USED}, 'name')", "old variable used"))),
 )
 _QUALIFIED, _BARE = _match("code", gates.CRYPTO_QUALIFIED), f"regexp_extract(code, {literal(gates.CRYPTO_BARE)}, 1)"
@@ -110,7 +109,7 @@ _IMPORTED = _match("context", gates.CRYPTO_IMPORT)
 _NAMED = f"list_contains(list_transform(string_split(regexp_extract(context, '\\{{([^}}]*)\\}}', 1), ','), lambda x: trim(x)), {_BARE})"
 _gate(
     "crypto_gate",
-    lambda: gates.crypto_gate(_code, F.lit(""), _context),
+    lambda: gates.crypto_gate(F.col("code"), F.lit(""), F.col("context")),
     _select(_case((_match("code", gates.WEAK_RANDOM), "Math.random"), (_match("code", gates.WEAK_CRYPTO), "weak primitive"), (f"NOT {_QUALIFIED} AND {_BARE} = '' AND NOT {_match('code', gates.CRYPTO_OTHER)}", "no secure source"), (f"{_QUALIFIED} AND NOT {_IMPORTED}", "no crypto import"), (f"NOT {_QUALIFIED} AND {_BARE} <> '' AND NOT ({_IMPORTED} AND {_NAMED})", "no named import"))),
 )
 _CONTROLLED = f"regexp_extract_all(code, {literal(gates.REQUEST_VARIABLE)}, 1)"
@@ -126,7 +125,7 @@ _FIXED = f"regexp_extract(code, {literal(gates.ORIGIN_FIXED)}, 1)"
 _TRUSTED = f"((regexp_matches(code, {literal(gates.MIDDLEWARE)}) AND contains(context, regexp_extract(code, {literal(gates.MIDDLEWARE)}, 1))) OR ({_FIELD} <> '' AND contains(context, {_FIELD})) OR ({_match('code', gates.ALLOWED)} AND {_match('context', gates.ALLOWED)}) OR ({_match('code', gates.TOKEN_STORE)} AND {_match('context', gates.TOKEN_STORE)}))"
 _gate(
     "csrf_gate",
-    lambda: gates.csrf_gate(_code, _context),
+    lambda: gates.csrf_gate(F.col("code"), F.col("context")),
     f"""WITH s AS (SELECT *, {_CONTROLLED} AS controlled, {_A} AS a, {_B} AS b FROM {_S}),
 p AS (SELECT *, list_filter(range(1, len(a) + 1), lambda i: contains(lower(a[i]), 'csrf') OR contains(lower(b[i]), 'csrf')) AS c FROM s),
 r AS (SELECT *, list_filter(list_transform(c, lambda i: CASE WHEN {_request('a[i]')} AND {_request('b[i]')} THEN 'request against request' WHEN trim(a[i]) = trim(b[i]) THEN 'compared with itself' END), lambda x: x IS NOT NULL) AS f FROM p)
@@ -138,10 +137,10 @@ WHEN NOT {_TRUSTED} THEN 'no trusted mechanism' ELSE 'ok' END AS reason FROM r""
 )
 _gate(
     "general_gate",
-    lambda: gates.general_gate(F.lit("x"), _code),
+    lambda: gates.general_gate(F.lit("x"), F.col("code")),
     _select(_case(("trim(code) = 'x'", "identical"), (_match("code", gates.PLACEHOLDER), "placeholder"), ("len(list_filter(string_split(code, chr(10)), lambda x: length(x) > 20 AND len(list_filter(string_split(code, chr(10)), lambda y: y = x)) > 2)) > 0", "duplicated statement"))),
 )
-_gate("markdown_valid", lambda: gates.markdown_gate(F.concat(_code, F.when(F.col("id") % 2 == 0, "```").otherwise(""))), _select(_case(("trim(code, ' ' || chr(10)) = '' AND id % 2 = 1", "empty"), ("id % 2 = 0", "unclosed fence"))).replace("AS reason FROM", "AS reason FROM"))
+_gate("markdown_valid", lambda: gates.markdown_gate(F.concat(F.col("code"), F.when(F.col("id") % 2 == 0, "```").otherwise(""))), _select(_case(("trim(code, ' ' || chr(10)) = '' AND id % 2 = 1", "empty"), ("id % 2 = 0", "unclosed fence"))).replace("AS reason FROM", "AS reason FROM"))
 
 
 # ---- validation of pairs: neighbouring documents, with words of their language -------
