@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text as T
 from codequarry.operators import chat, detect, intervals, metrics, relational, specs
+from codequarry.operators.state import folder
+from codequarry.plans import registry
 from codequarry.plans.registry import literal, query, table, values
 from codequarry.plans.text_queries import strip_sql
 from codequarry.streaming import streams
@@ -388,6 +390,22 @@ def retry_batch(spark, sf_dir):
     return streams.retry_batch(_sends(table(spark, sf_dir, "events")))
 
 
+@query(registry.SQL["retry_batch"])
+def stream_retry(spark, sf_dir):
+    """The same by the stateful stream, one key's events in the order of a batch."""
+    at = folder(spark)
+    return streams.run_to_files(streams.retry_queue(_sends(streams.table_stream(spark, sf_dir, "events"))), f"{at}/out", f"{at}/checkpoint")
+
+
+@query(f"SELECT doc_id FROM ({registry.SQL['near_dup_greedy']}) WHERE accepted")
+def stream_dedup(spark, sf_dir):
+    """Near-duplicate acceptance in micro-batches of files; a table of one file is one batch."""
+    at = folder(spark)
+    stream = streams.table_stream(spark, sf_dir, "documents").select("doc_id", "text")
+    streams.accept_batches(stream, f"{at}/out", f"{at}/checkpoint", "doc_id", "text")
+    return spark.read.parquet(f"{at}/out").select("doc_id")
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def running_counts(spark, sf_dir):
     return streams.running_counts(table(spark, sf_dir, "events"), "event_type")

@@ -47,6 +47,18 @@ def run_available(stream, name, checkpoint, mode="append"):
     return stream.sparkSession.table(name)
 
 
+def run_to_files(stream, path, checkpoint):
+    """Runs a stream over what there is now into Parquet files at `path`, each row once."""
+    stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def table_stream(spark, folder, name):
+    """A stream over the Parquet table `name` of a folder."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "false").parquet(folder)
+
+
 def accept_batches(stream, path, checkpoint, key, text, n=4, percent=80):
     """Micro-batches through near-duplicate acceptance against the accepted table at `path`.
 
