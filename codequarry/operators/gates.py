@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.lines import split_lines, stripped_set
 from codequarry.functions.text import contains_any, first_contained, has_function, jaccard, strip, strip_comments, tokenize, wp_tokens
+from codequarry.operators import gate_words as words
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,7 @@ class Limits:
     new_lines: bool = False
     tier3: int | None = None
     indicator_last: bool = False
+    longer: int = 8
 
 
 # Words of SQL lines
@@ -34,11 +36,11 @@ SQL_WORDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "WHERE", "FROM", "execute("
 # Limits of each family's gate
 FAMILY_LIMITS = {
     "crypto": Limits((80, 1500), (100, 1400), 2100, None, 10, (0.10, 0.98), False),
-    "deser": Limits((80, 800), (100, 900), 1400, 440, 8, (0.12, 0.995), tier3=2),
+    "deser": Limits((80, 800), (100, 900), 1400, 440, 8, (0.12, 0.995), tier3=1),
     "path": Limits((70, 1200), (90, 1300), 1900, 512, 8, (0.12, 0.97), indicator_last=True),
     "sqli": Limits((80, 1200), (100, 1300), 1900, 512, 8, (0.15, 0.995), True, SQL_WORDS, 1, True, 2),
-    "xml": Limits((70, 1200), (90, 1300), 1900, 512, 8, (0.12, 0.97), tier3=2, indicator_last=True),
-    "xss": Limits((120, 1200), (130, 1300), 1900, 512, 10, (0.12, 0.995), True, ("innerHTML", "outerHTML", "document.write", "render", "echo"), 2, False, 1),
+    "xml": Limits((70, 1200), (90, 1300), 1900, 512, 8, (0.12, 0.97), tier3=2, indicator_last=True, longer=10),
+    "xss": Limits((120, 1200), (130, 1300), 1900, 512, 10, (0.12, 0.995), True, words.XSS_RENDER, 2, False, 1),
 }
 # Beginnings of lines that add nothing
 PLAIN_STARTS = ("#", "//", "import ", "from ", "using ", "require ", "package ")
@@ -50,12 +52,14 @@ def meaningful_new_lines(vuln, safe, longer=8):
     return F.filter(F.array_except(stripped_set(safe), stripped_set(vuln)), lambda x: (F.length(x) > longer) & ~plain(x))
 
 
-def validate(vuln, safe, limits, forbidden=(), indicators=None, mitigation=None, broad=(), function_words=None):
+def validate(vuln, safe, limits, forbidden=(), indicators=None, mitigation=None, broad=(), function_words=None, unsafe=()):
     """Reason for which a pair of texts is rejected, or null.
 
     forbidden: words that the fixed text must not hold outside comments;
     indicators: one must stand in the vulnerable text; mitigation and broad: one
-    of either must stand in the fixed text, unless tier3 new lines do instead.
+    of either must stand in the fixed text, unless tier3 new lines do instead;
+    unsafe: calls of the vulnerable text that stay need one of those or two new
+    lines.
     """
     has = has_function if function_words is None else lambda c: contains_any(c, function_words)
     v, s = F.length(vuln), F.length(safe)
@@ -85,22 +89,43 @@ def validate(vuln, safe, limits, forbidden=(), indicators=None, mitigation=None,
     if limits.sink_words:
         sinks = lambda c: F.array_sort(F.filter(stripped_set(c), lambda x: contains_any(x, limits.sink_words)))
         rules.append(((F.size(sinks(vuln)) >= limits.least_sinks) & (sinks(vuln) == sinks(safe)), "sink lines unchanged"))
-    new = meaningful_new_lines(vuln, safe)
+    new = meaningful_new_lines(vuln, safe, limits.longer)
     if limits.new_lines:
         rules.append((F.size(new) < 1, "no meaningful new lines"))
     if forbidden:
         rules.append((first_contained(strip_comments(safe), forbidden).isNotNull(), "forbidden pattern"))
     last = []
+    if unsafe:
+        stays = reduce(or_, (F.contains(vuln, F.lit(w)) & F.contains(safe, F.lit(w)) for w in unsafe))
+        rules_after = [(stays & ~contains_any(safe, (*mitigation, *broad)) & (F.size(new) < 2), "unsafe call stays")]
+    else:
+        rules_after = []
     if indicators:
         last.append((~contains_any(vuln, indicators), "no indicator"))
     if mitigation is not None:
         ok = contains_any(safe, (*mitigation, *broad))
         ok = ok | (F.size(new) >= limits.tier3) if limits.tier3 else ok
         last.append((~ok, "no mitigation"))
-    rules += reversed(last) if limits.indicator_last else last
+    rules += reversed(last) if limits.indicator_last else [*last[:1], *rules_after, *last[1:]] if indicators else [*rules_after, *last]
     return F.coalesce(*(F.when(c, F.lit(r)) for c, r in rules), F.lit(None).cast("string"))
 
 
+#: Words of each family's gate, as arguments of validate()
+FAMILY_WORDS = {
+    "crypto": {},
+    "deser": {"indicators": words.DESER_INDICATORS, "mitigation": words.DESER_MITIGATION, "broad": words.DESER_BROAD, "function_words": words.DESER_FUNCTIONS, "unsafe": words.DESER_UNSAFE},
+    "path": {"indicators": words.PATH_INDICATORS, "mitigation": words.PATH_MITIGATION, "function_words": words.PATH_FUNCTIONS},
+    "sqli": {"indicators": words.SQL_INDICATORS, "mitigation": words.SQL_MITIGATION, "broad": words.SQL_BROAD},
+    "xml": {"indicators": words.XML_INDICATORS, "mitigation": (), "broad": words.XML_BROAD},
+    "xss": {"indicators": (*words.XSS_INPUT, *words.XSS_OUTPUT), "mitigation": words.XSS_MITIGATION, "broad": words.XSS_BROAD},
+}
+
+
+def validate_family(vuln, safe, family, forbidden=(), **more):
+    """validate() with a family's limits and words; `more` replaces its words (the expected ones of a subtype, the long list of XML)."""
+    return validate(vuln, safe, FAMILY_LIMITS[family], forbidden, **{**FAMILY_WORDS[family], **more})
+
+
 # ---- gates of repairs: a message, or null -----------------------------------
 
 # Patterns of the repair gates

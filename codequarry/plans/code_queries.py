@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import lines as L
 from codequarry.operators import detect, gates, repair, rules
-from codequarry.plans.corpus import SNIPPETS, WORD_RULES, snippets
+from codequarry.plans.corpus import PAIRS, SNIPPETS, WORD_RULES, snippets
 from codequarry.plans.registry import literal, query, table, values
 
 _S = values(SNIPPETS, "id", "family", "context", "code")
@@ -160,29 +160,47 @@ def _stripped(c):
     return f"list_distinct(list_filter(list_transform(string_split({c}, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> ''))"
 
 
-def _validate_sql():
+def _validate_sql(source, key, limits, forbidden, words):
+    from codequarry.functions.text import COMMENTS, FUNCTION_KEYWORDS
     from codequarry.plans.text_queries import TOKEN, _nested
 
-    from codequarry.functions.text import COMMENTS
-
+    functions, fix = words.get("function_words") or FUNCTION_KEYWORDS, (*(words.get("mitigation") or ()), *words.get("broad", ()))
     starts = " OR ".join(f"starts_with(x, {literal(p)})" for p in gates.PLAIN_STARTS)
-    sinks = lambda c: f"list_sort(list_filter({c}, lambda x: {_has('x', _LIMITS.sink_words)}))"
+    sinks = lambda c: f"list_sort(list_filter({c}, lambda x: {_has('x', limits.sink_words)}))"
     cases = [
-        ("v = '' OR s = ''", "empty block"), (f"NOT {_has('v', _WORDS)}", "vuln: no function"), (f"NOT {_has('s', _WORDS)}", "safe: no function"),
-        ("length(v) < 100", "vuln too short"), ("length(v) > 6000", "vuln too long"), ("length(s) < 120", "safe too short"), ("length(s) > 6500", "safe too long"),
-        ("length(v) + length(s) > 9000", "combined too long"), ("greatest(1, 2 * length(v) // 7) + greatest(1, 2 * length(s) // 7) + 3 > 2600", "token overflow"),
-        ("len(vt) < 8", "vuln too few identifiers"), ("len(st) < 8", "safe too few identifiers"), ("j < 0.02", "pair too dissimilar"), ("j >= 0.97", "pair too similar"),
-        ("len(list_filter(vl, lambda x: NOT list_contains(sl, x))) = 0 AND len(list_filter(sl, lambda x: NOT list_contains(vl, x))) = 0", "line-identical"),
-        (f"len({sinks('vl')}) >= 1 AND {sinks('vl')} = {sinks('sl')}", "sink lines unchanged"), ("len(new) < 1", "no meaningful new lines"),
-        (f"{_has(_nested('s', [(p, '') for p in COMMENTS]), _FORBIDDEN)}", "forbidden pattern"), (f"NOT {_has('v', _INDICATORS)}", "no indicator"), (f"NOT ({_has('s', _MITIGATION)} OR len(new) >= 2)", "no mitigation"),
+        ("v = '' OR s = ''", "empty block"), (f"NOT {_has('v', functions)}", "vuln: no function"), (f"NOT {_has('s', functions)}", "safe: no function"),
+        (f"length(v) < {limits.vuln[0]}", "vuln too short"), (f"length(v) > {limits.vuln[1]}", "vuln too long"), (f"length(s) < {limits.safe[0]}", "safe too short"), (f"length(s) > {limits.safe[1]}", "safe too long"),
+        (f"length(v) + length(s) > {limits.combined}", "combined too long"),
     ]
-    return f"""WITH p AS (SELECT a.doc_id, a.text AS v, b.text AS s FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
-t AS (SELECT *, regexp_extract_all(v, {TOKEN}) AS vt, regexp_extract_all(s, {TOKEN}) AS st, {_stripped('v')} AS vl, {_stripped('s')} AS sl FROM p),
-u AS (SELECT *, len(list_intersect(vt, st)) * 1.0 / greatest(len(list_distinct(list_concat(vt, st))), 1) AS j, list_filter(sl, lambda x: NOT list_contains(vl, x) AND length(x) > 8 AND NOT ({starts})) AS new FROM t)
-SELECT doc_id, {_case(*cases)} AS reason FROM u"""
-
-
-@query(_validate_sql())
+    if limits.tokens:
+        cases.append((f"greatest(1, 2 * length(v) // 7) + greatest(1, 2 * length(s) // 7) + 3 > {limits.tokens}", "token overflow"))
+    cases += [(f"len(vt) < {limits.identifiers}", "vuln too few identifiers"), (f"len(st) < {limits.identifiers}", "safe too few identifiers"), (f"j < {limits.similarity[0]}", "pair too dissimilar"), (f"j >= {limits.similarity[1]}", "pair too similar")]
+    if limits.equal_lines:
+        cases.append(("len(list_filter(vl, lambda x: NOT list_contains(sl, x))) = 0 AND len(list_filter(sl, lambda x: NOT list_contains(vl, x))) = 0", "line-identical"))
+    if limits.sink_words:
+        cases.append((f"len({sinks('vl')}) >= {limits.least_sinks} AND {sinks('vl')} = {sinks('sl')}", "sink lines unchanged"))
+    if limits.new_lines:
+        cases.append(("len(new) < 1", "no meaningful new lines"))
+    if forbidden:
+        cases.append((_has(_nested("s", [(p, "") for p in COMMENTS]), forbidden), "forbidden pattern"))
+    last = []
+    if words.get("indicators"):
+        last.append((f"NOT {_has('v', words['indicators'])}", "no indicator"))
+    if words.get("unsafe"):
+        stays = " OR ".join(f"(contains(v, {literal(w)}) AND contains(s, {literal(w)}))" for w in words["unsafe"])
+        last.append((f"({stays}) AND NOT {_has('s', fix)} AND len(new) < 2", "unsafe call stays"))
+    if words.get("mitigation") is not None:
+        last.append((f"NOT ({_has('s', fix)}" + (f" OR len(new) >= {limits.tier3})" if limits.tier3 else ")"), "no mitigation"))
+    cases += reversed(last) if limits.indicator_last else last
+    return f"""WITH t AS (SELECT *, regexp_extract_all(v, {TOKEN}) AS vt, regexp_extract_all(s, {TOKEN}) AS st, {_stripped('v')} AS vl, {_stripped('s')} AS sl FROM {source}),
+u AS (SELECT *, CASE WHEN len(vt) = 0 AND len(st) = 0 THEN 1.0 ELSE len(list_intersect(vt, st)) * 1.0 / greatest(len(list_distinct(list_concat(vt, st))), 1) END AS j, list_filter(sl, lambda x: NOT list_contains(vl, x) AND length(x) > {limits.longer} AND NOT ({starts})) AS new FROM t)
+SELECT {key}, {_case(*cases)} AS reason FROM u"""
+
+
+_NEIGHBOURS = "(SELECT a.doc_id, a.text AS v, b.text AS s FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
+
+
+@query(_validate_sql(_NEIGHBOURS, "doc_id", _LIMITS, _FORBIDDEN, {"indicators": _INDICATORS, "mitigation": _MITIGATION, "function_words": _WORDS}))
 def validate_reason(spark, sf_dir):
     from codequarry.plans.text_queries import _pairs
 
@@ -190,6 +208,17 @@ def validate_reason(spark, sf_dir):
     return _pairs(spark, sf_dir).select("doc_id", F.coalesce(reason, F.lit("ok")).alias("reason"))
 
 
+_PAIR_ROWS = values(PAIRS, "id", "v", "s")
+
+
+@query(" UNION ALL ".join(f"SELECT {literal(f)} AS family, * FROM ({_validate_sql(_PAIR_ROWS, 'id', limits, ('eval(',), gates.FAMILY_WORDS[f])})" for f, limits in gates.FAMILY_LIMITS.items()))
+def validate_families(spark, sf_dir):
+    """Pairs of the corpus under the limits and words of every family."""
+    pairs = spark.createDataFrame(PAIRS, "id int, v string, s string")
+    reasons = F.array(*(F.struct(F.lit(f).alias("family"), F.coalesce(gates.validate_family(F.col("v"), F.col("s"), f, ("eval(",)), F.lit("ok")).alias("reason")) for f in gates.FAMILY_LIMITS))
+    return pairs.select("id", F.explode(reasons).alias("x")).select("x.family", "id", "x.reason")
+
+
 # ---- end to end ----------------------------------------------------------------------
 
 

@@ -48,3 +48,21 @@ WORD_RULES = {"XSS": ("licensed", "token"), "SQL Injection": ("the of",), "CSRF"
 
 def snippets(spark):
     return spark.createDataFrame(SNIPPETS, "id int, family string, context string, code string")
+
+_BODY = "def load(request, name):\n    value = request.args.get('name')\n    rows = []\n    total = 0\n"
+
+#: id, vulnerable text, fixed text
+PAIRS = [
+    (1, _BODY + "    cursor.execute('SELECT a FROM t WHERE n = ' + value)\n    return rows, total\n", _BODY + "    cursor.execute('SELECT a FROM t WHERE n = %s', (value,))\n    return rows, total, value\n"),
+    (2, _BODY + "    data = pickle.loads(value)\n    return data, rows\n", _BODY + "    data = json.loads(value)\n    check(data)\n    return data, rows\n"),
+    (3, _BODY + "    data = pickle.loads(value)\n    return data, rows\n", _BODY + "    data = pickle.loads(value)\n    return data, rows, total\n"),
+    (4, _BODY + "    return open('../files/' + value).read()\n", _BODY + "    path = os.path.realpath(value)\n    if not path.startswith(BASE):\n        raise ValueError(path)\n    return open(path).read()\n"),
+    (5, _BODY + "    return '<p>' + value + '</p>', rows, total\n", _BODY + "    return '<p>' + escape(value) + '</p>', rows, total\n"),
+    (6, _BODY + "    tree = etree.fromstring(value)\n    return tree\n", _BODY + "    parser = etree.XMLParser(resolve_entities=False)\n    tree = etree.fromstring(value, parser)\n    return tree\n"),
+    (7, _BODY * 2, _BODY * 2),
+    (8, _BODY + "    return eval(value)\n", _BODY + "    return eval(value), check(value), other(value)\n"),
+    (9, "", "def f(): pass"),
+    (10, _BODY + "x = 1\n" * 400, _BODY + "y = 2\n" * 20),
+    (11, "nothing to see here " * 8, _BODY + "    return 1\n"),
+    (12, _BODY + "    a = zeta(alpha)\n", "class Other:\n    " + " ".join(f"w{i}" for i in range(60)) + "\n"),
+]
