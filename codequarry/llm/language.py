@@ -20,6 +20,8 @@ from codequarry.llm.textkit import _stream, blocks, mix
 
 CODES = 64
 DIMENSIONS = 1024
+#: Text taken at once; some 80 bytes of arrays stand for each of its bytes.
+BLOCK_BYTES = 1 << 18
 #: Prototypes need this many training documents' trigrams to count at all.
 LEAST_TRIGRAMS = 20
 
@@ -94,7 +96,7 @@ def counted(docs):
         total = {}
         for batch in batches:
             names = pc.fill_null(batch.column(1), "").to_numpy(zero_copy_only=False)
-            for lo, data, off in blocks(batch.column(0)):
+            for lo, data, off in blocks(batch.column(0), BLOCK_BYTES):
                 doc, gram, _ = trigrams(data, off)
                 own = names[lo : lo + len(off) - 1][doc] if len(doc) else np.zeros(0, dtype=object)
                 langs, which = np.unique(own.astype(str), return_inverse=True) if len(doc) else ([], [])
@@ -143,7 +145,7 @@ def identified(docs, model):
         own, mean = sent.value
         known, vectors = np.zeros(0, dtype=np.int64), np.zeros((0, DIMENSIONS), dtype=np.float32)
         for batch in batches:
-            for lo, data, off in blocks(batch.column(place)):
+            for lo, data, off in blocks(batch.column(place), BLOCK_BYTES):
                 n = len(off) - 1
                 doc, gram, has = trigrams(data, off)
                 # counts by document and trigram

@@ -15,8 +15,8 @@ import numpy as np
 from codequarry.llm.textkit import _BYTE, SPACE_WORDS, Hasher, Words, blocks, lowered, mix
 
 #: Parts a worker keeps at most (about 60 bytes each).  A part is kept when it is met a second time.
-CACHE_PARTS = 1_200_000
-_SLOTS = 1 << 22
+CACHE_PARTS = 700_000
+_SLOTS = 1 << 21
 #: Bytes: 0 an ASCII letter, 1 punctuation that no contraction begins with, 2 the first byte of U+00C0 to U+00FF, 3 a second byte, 4 any other
 _KIND = np.full(256, 4, dtype=np.uint8)
 _KIND[[*range(65, 91), *range(97, 123)]] = 0
