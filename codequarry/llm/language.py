@@ -118,8 +118,8 @@ def prototypes(docs):
         if n.sum() < LEAST_TRIGRAMS:
             continue
         total = np.zeros(DIMENSIONS)
-        for i in range(0, len(part), 8192):
-            total += n[i : i + 8192] @ gram_vectors(part["gram"].to_numpy()[i : i + 8192].astype(np.int64))
+        for i in range(0, len(part), 1024):  # sums of products: the driver starts no pool of BLAS threads
+            total += (n[i : i + 1024, None] * gram_vectors(part["gram"].to_numpy()[i : i + 1024].astype(np.int64))).sum(axis=0)
         names.append(lang)
         profiles.append(total / np.linalg.norm(total))
     matrix = np.array(profiles).reshape(len(names), DIMENSIONS)

@@ -37,11 +37,13 @@ def configurations(sizes, demand, capacity):
     k = len(sizes)
     if not k:
         return []
-    columns = np.diag([capacity // s for s in sizes]).astype(float)
-    level = np.array(demand, dtype=float) / np.diag(columns)
+    # sums of products and no matrix products: the driver need not start a pool of BLAS threads for these sizes
+    alone = (capacity // sizes).astype(float)
+    columns, inverse = np.diag(alone), np.diag(1 / alone)
+    demand = np.array(demand, dtype=float)
+    level = demand / alone
     most, room = capacity // int(sizes.min()), np.arange(capacity + 1)
     fits, rest = room >= sizes[:, None], np.maximum(room - sizes[:, None], 0)
-    inverse = np.linalg.inv(columns)
     for _ in range(4 * k):
         price = inverse.sum(axis=0)
         # the configuration of greatest price: a knapsack with `most` items at most, one layer for each
@@ -50,8 +52,8 @@ def configurations(sizes, demand, capacity):
             value = np.where(fits, best[rest] + price[:, None], 0.0)
             taken.append(value.argmax(axis=0))
             best = value[taken[-1], room]
-        # price @ demand / best bounds the optimum from below (Farley)
-        if best[capacity] <= 1 + 1e-7 or level.sum() * best[capacity] <= (price @ demand) * (1 + 1e-4):
+        # The price of the demand over that of the best bounds the optimum from below (Farley)
+        if best[capacity] <= 1 + 1e-7 or level.sum() * best[capacity] <= (price * demand).sum() * (1 + 1e-4):
             break
         new, c = np.zeros(k), capacity
         for layer in reversed(taken):
@@ -60,14 +62,14 @@ def configurations(sizes, demand, capacity):
                 break
             new[j] += 1
             c -= sizes[j]
-        move = inverse @ new
+        move = (inverse * new).sum(axis=1)
         ratio = np.where(move > 1e-9, level / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
         level = level - ratio[out] * move
         level[out] = ratio[out]
         columns[:, out] = new
         row = inverse[out] / move[out]
-        inverse -= np.outer(move, row)
+        inverse -= move[:, None] * row
         inverse[out] = row
     whole = np.floor(np.maximum(level, 0) + 1e-6).astype(int)
     return [(int(m), columns[:, j].round().astype(int)) for j, m in enumerate(whole) if m > 0]
