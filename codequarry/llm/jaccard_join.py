@@ -41,7 +41,7 @@ BITS = 27
 #: Percent of a set by which prefixes are longer than they must be.  Partners then share more than one token of them.
 EXTRA = 10
 BLOCK_SHINGLES = 1_000_000
-BATCH_SHINGLES = 2_000_000
+BATCH_SHINGLES = 1_000_000
 _FAR = 1 << 62
 
 

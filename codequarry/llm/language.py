@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from codequarry.llm.textkit import _stream, blocks, mix
 
 CODES = 64
-DIMENSIONS = 1024
+DIMENSIONS = 512
 #: Text taken at once; some 80 bytes of arrays stand for each of its bytes.
 BLOCK_BYTES = 1 << 18
 #: Prototypes need this many training documents' trigrams to count at all.
@@ -143,7 +143,8 @@ def identified(docs, model):
 
     def predict(batches):
         own, mean = sent.value
-        known, vectors = np.zeros(0, dtype=np.int64), np.zeros((0, DIMENSIONS), dtype=np.float32)
+        # vectors of the trigrams that the task has met, and where each is
+        place_of, vectors, used = np.full(CODES**3, -1, dtype=np.int32), np.zeros((4096, DIMENSIONS), dtype=np.int8), 0
         for batch in batches:
             for lo, data, off in blocks(batch.column(place), BLOCK_BYTES):
                 n = len(off) - 1
@@ -154,13 +155,14 @@ def identified(docs, model):
                 new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
                 count = np.diff(np.append(new, len(key))).astype(np.float32)
                 d, g = key[new] // CODES**3, key[new] % CODES**3
-                fresh = np.setdiff1d(g, known)
+                fresh = np.unique(g[place_of[g] < 0])
                 if len(fresh):
-                    known = np.concatenate([known, fresh])
-                    vectors = np.concatenate([vectors, gram_vectors(fresh).astype(np.int8)])
-                    order = np.argsort(known)
-                    known, vectors = known[order], vectors[order]
-                row = np.searchsorted(known, g)
+                    if used + len(fresh) > len(vectors):
+                        vectors = np.concatenate([vectors, np.zeros((max(len(vectors), len(fresh)), DIMENSIONS), dtype=np.int8)])
+                    vectors[used : used + len(fresh)] = gram_vectors(fresh)
+                    place_of[fresh] = np.arange(used, used + len(fresh))
+                    used += len(fresh)
+                row = place_of[g]
                 ends = np.searchsorted(d, np.arange(n + 1))
                 bundle = np.zeros((n, DIMENSIONS), dtype=np.float32)
                 for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from codequarry.llm import decontam, jaccard_join, language, line_dedup, packing, quality, secrets, sharding, span_dedup, token_codes
-from codequarry.llm.workspace import folder
+from codequarry.llm.workspace import folder, small_batches
 
 LENGTH = 35
 RATIO, MIN_PAGES = 0.1, 5
@@ -17,6 +17,7 @@ def tokenizer(name="word_bpe_49k.json"):
 
 
 def documents(spark, sf_dir):
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

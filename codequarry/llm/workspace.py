@@ -42,6 +42,15 @@ def drop(spark, path):
     fs.delete(at, True)
 
 
+#: Rows that Spark hands to Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark):
+    """Bounds what lies between the JVM and its Python workers: whole texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 class Table:
     """A DataFrame written as Parquet to the shared folder; drop() when later tables hold what was needed of it."""
 

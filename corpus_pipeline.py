@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from codequarry.llm import decontam, jaccard_join, language, line_dedup, packing
 from codequarry.llm.queries import MIN_PAGES, RATIO, documents, tokenizer
-from codequarry.llm.workspace import Table
+from codequarry.llm.workspace import Table, small_batches
 
 #: Documents of a lower cosine with their language go, as do those without a letter.
 MIN_SCORE = 0.02
@@ -33,12 +33,20 @@ def sequences(spark, docs, sf_dir):
     return packing.packed(docs, tokenizer(), end_id=0, capacity=2048)
 
 
+def bounded(stage):
+    def run_(spark, docs, sf_dir):
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_
+
+
 STAGES = [
-    ("language", known_language),
-    ("lines", own_lines),
-    ("near_duplicates", one_of_each_group),
-    ("decontamination", without_benchmark),
-    ("packing", sequences),
+    ("language", bounded(known_language)),
+    ("lines", bounded(own_lines)),
+    ("near_duplicates", bounded(one_of_each_group)),
+    ("decontamination", bounded(without_benchmark)),
+    ("packing", bounded(sequences)),
 ]
 
 #: SQL can't express profiles, the similarity join at this size or packing; tests/llm compares with brute force.
