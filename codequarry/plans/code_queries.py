@@ -140,7 +140,7 @@ _gate(
     lambda: gates.general_gate(F.lit("x"), F.col("code")),
     _select(_case(("trim(code) = 'x'", "identical"), (_match("code", gates.PLACEHOLDER), "placeholder"), ("len(list_filter(string_split(code, chr(10)), lambda x: length(x) > 20 AND len(list_filter(string_split(code, chr(10)), lambda y: y = x)) > 2)) > 0", "duplicated statement"))),
 )
-_gate("markdown_valid", lambda: gates.markdown_gate(F.concat(F.col("code"), F.when(F.col("id") % 2 == 0, "```").otherwise(""))), _select(_case(("trim(code, ' ' || chr(10)) = '' AND id % 2 = 1", "empty"), ("id % 2 = 0", "unclosed fence"))).replace("AS reason FROM", "AS reason FROM"))
+_gate("markdown_valid", lambda: gates.markdown_gate(F.concat(F.col("code"), F.when(F.col("id") % 2 == 0, "```").otherwise(""))), _select(_case(("trim(code, ' ' || chr(10)) = '' AND id % 2 = 1", "empty"), ("id % 2 = 0", "unclosed fence"))))
 
 
 # ---- validation of pairs: neighbouring documents, with words of their language -------

@@ -9,7 +9,7 @@ from codequarry.plans.registry import literal, query, table
 
 TOKEN = literal(T.TOKEN)
 SPACE = T.SPACE
-#: documents whose pairs the similarity queries take: all
+#: documents with their lines, without an empty last one
 LINES = "(SELECT doc_id, CASE WHEN s[-1] = '' THEN s[1:len(s) - 1] ELSE s END AS ln FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
 
 
