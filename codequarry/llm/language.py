@@ -40,9 +40,6 @@ def letters(data):
     return point, first
 
 
-_LETTER = {}
-
-
 def is_letter(points):
     """Whether code points are letters (Unicode's alphabetic categories)."""
     values, which = np.unique(points, return_inverse=True)

@@ -7,6 +7,8 @@ document.  All of it in DataFrame functions: arrays stay inside their row, and
 only counts of buckets are shuffled.
 """
 
+import math
+
 from pyspark.sql import functions as F
 
 from codequarry.llm.workspace import fresh
@@ -70,8 +72,6 @@ def log_ratios(docs, trusted):
     ids = trusted.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(TRUSTED).withColumn("_yes", F.lit(1))
     flagged = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left")
     counts = flagged.select("_yes", F.explode(let(words(F.col("text")), grams)).alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.count("_yes").alias("t"))
-    import math
-
     rows = {r["b"]: (r["n"], r["t"]) for r in counts.collect()}  # BUCKETS rows at most
     n, t = (sum(x[i] for x in rows.values()) + BUCKETS for i in (0, 1))
     return [math.log((y + 1) / t) - math.log((x + 1) / n) for x, y in (rows.get(b, (0, 0)) for b in range(BUCKETS))]
