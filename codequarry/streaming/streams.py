@@ -54,9 +54,13 @@ def run_to_files(stream, path, checkpoint):
 
 
 def table_stream(spark, folder, name):
-    """A stream over the Parquet table `name` of a folder."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "false").parquet(folder)
+    """A stream over the Parquet table `name` of a folder, one file or a folder of files."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def accept_batches(stream, path, checkpoint, key, text, n=4, percent=80):
