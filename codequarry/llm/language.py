@@ -9,6 +9,10 @@ languages share is taken off the prototypes first: their mean.
 
 Counts of trigrams over all training documents make the prototypes: at most
 64**3 counts for a language, whatever the input.
+
+Whether a text is in a learnt language at all is told by its trigrams' mean
+product with the prototype as it is before the mean is taken off: near 0 for
+other letters' order, near the training texts' own mean for that language.
 """
 
 import numpy as np
@@ -24,6 +28,10 @@ DIMENSIONS = 512
 BLOCK_BYTES = 1 << 18
 #: Prototypes need this many training documents' trigrams to count at all.
 LEAST_TRIGRAMS = 20
+#: A text is familiar if its trigrams' mean product with its language is this share of the training texts' at least,
+FAMILIAR = 0.25
+#: or so many standard errors below the training texts' at most, over its different trigrams: few tell little.
+ERRORS = 3
 
 
 def letters(data):
@@ -107,39 +115,50 @@ def counted(docs):
 
 
 def prototypes(docs):
-    """(languages, matrix of unit vectors) learnt from docs (text, lang); rows with a null in either teach nothing."""
+    """What docs (text, lang) teach; rows with a null in either teach nothing.
+
+    Languages; unit vectors less their mean; the mean; the unit vectors; mean
+    and standard deviation of a training trigram's product with its language's.
+    """
     rows = counted(docs.filter("text is not null and lang is not null")).toPandas()
-    names, profiles = [], []
+    names, profiles, usual = [], [], []
     for lang, part in sorted(rows.groupby("lang"), key=lambda x: x[0]):
         n = part["n"].to_numpy(dtype=float)
         if n.sum() < LEAST_TRIGRAMS:
             continue
         total = np.zeros(DIMENSIONS)
+        gram = part["gram"].to_numpy().astype(np.int64)
         for i in range(0, len(part), 1024):  # sums of products: the driver starts no pool of BLAS threads
-            total += (n[i : i + 1024, None] * gram_vectors(part["gram"].to_numpy()[i : i + 1024].astype(np.int64))).sum(axis=0)
+            total += (n[i : i + 1024, None] * gram_vectors(gram[i : i + 1024])).sum(axis=0)
         names.append(lang)
         profiles.append(total / np.linalg.norm(total))
+        product = np.concatenate([(gram_vectors(gram[i : i + 1024]) * profiles[-1]).sum(axis=1) for i in range(0, len(part), 1024)])
+        mean = (n * product).sum() / n.sum()
+        usual.append((mean, np.sqrt((n * (product - mean) ** 2).sum() / n.sum())))
     matrix = np.array(profiles).reshape(len(names), DIMENSIONS)
     shared = matrix.mean(axis=0) if len(names) > 1 else np.zeros(DIMENSIONS)
-    matrix = matrix - shared
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return names, matrix / np.where(norm > 0, norm, 1), shared
+    own = matrix - shared
+    norm = np.linalg.norm(own, axis=1, keepdims=True)
+    return names, own / np.where(norm > 0, norm, 1), shared, matrix, np.array(usual).reshape(len(names), 2)
 
 
 def identified(docs, model):
-    """docs and their columns with lang_pred and score (the cosine, between 0 and 1).
+    """docs and their columns with lang_pred, score (the cosine, between 0 and 1) and familiar.
 
     `und` and 0 if text is null or has no letter, or nothing was learnt.  Only
-    the text is looked at.  Ties go to the first language by name.  Existing
-    columns of these two names are replaced; an empty table stays empty.
+    the text is looked at.  Ties go to the first language by name.  A text is
+    familiar unless its trigrams are too unlike those of lang_pred for their
+    number (FAMILIAR, ERRORS); `und` is not, texts of under some 20 different
+    trigrams nearly always are.  Existing columns of these three names are replaced; an
+    empty table stays empty.
     """
-    names, matrix, shared = model
-    docs = docs.drop("lang_pred", "score")
+    names, matrix, shared, profiles, usual = model
+    docs = docs.drop("lang_pred", "score", "familiar")
     place = docs.columns.index("text")
-    sent = docs.sparkSession.sparkContext.broadcast((matrix.astype(np.float32), shared.astype(np.float32)))
+    sent = docs.sparkSession.sparkContext.broadcast((matrix.astype(np.float32), shared.astype(np.float32), profiles.astype(np.float32), usual))
 
     def predict(batches):
-        own, mean = sent.value
+        own, mean, whole, usual = sent.value
         # vectors of the trigrams that the task has met, and where each is
         place_of, vectors, used = np.full(CODES**3, -1, dtype=np.int32), np.zeros((4096, DIMENSIONS), dtype=np.int8), 0
         for batch in batches:
@@ -165,6 +184,8 @@ def identified(docs, model):
                 for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
                     if a < b:
                         bundle[i] = count[a:b] @ vectors[row[a:b]].astype(np.float32)
+                many = np.maximum(np.bincount(doc, minlength=n), 1)
+                product = bundle @ whole.T / many[:, None] if names else np.zeros((n, 0))
                 norm = np.linalg.norm(bundle, axis=1, keepdims=True)
                 bundle = bundle / np.where(norm > 0, norm, 1) - mean
                 norm = np.linalg.norm(bundle, axis=1, keepdims=True)
@@ -172,12 +193,16 @@ def identified(docs, model):
                 best = cosine.argmax(axis=1) if len(names) else np.zeros(n, dtype=np.int64)
                 sure = has & bool(names)
                 score = np.where(sure, np.clip(cosine[np.arange(n), best], 0, 1) if len(names) else 0, 0).astype(float)
+                familiar = sure.copy()
+                if names:
+                    mu, sd = usual[best].T
+                    familiar &= product[np.arange(n), best] >= np.minimum(FAMILIAR * mu, mu - ERRORS * sd / np.sqrt(np.maximum(np.diff(ends), 1)))
                 said = [names[k] if ok else "und" for k, ok in zip(best.tolist(), sure.tolist(), strict=True)]
                 part = batch.slice(lo, n)
-                yield pa.record_batch([*part.columns, pa.array(said, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
+                yield pa.record_batch([*part.columns, pa.array(said, pa.string()), pa.array(score), pa.array(familiar)], [*part.schema.names, "lang_pred", "score", "familiar"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(predict, f"{fields}, lang_pred string, score double, familiar boolean")
 
 
 def held_out(doc_id):

@@ -1,19 +1,15 @@
 """Documents to packed sequences: language ID, line dedup, near duplicates, decontamination, packing."""
 
-from pyspark.sql import functions as F
-
 from codequarry.llm import decontam, jaccard_join, language, line_dedup, packing
 from codequarry.llm.queries import MIN_PAGES, RATIO, documents, tokenizer
 from codequarry.llm.workspace import Table, small_batches
 
-#: Documents of a lower cosine with their language go, as do those without a letter.
-MIN_SCORE = 0.02
-
 
 def known_language(spark, docs, sf_dir):
+    """Documents of a learnt language; others go, as do junk and those without a letter."""
     model = language.prototypes(docs)
     judged = language.identified(docs, model)
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+    return judged.filter("familiar").select(docs.columns)
 
 
 def own_lines(spark, docs, sf_dir):

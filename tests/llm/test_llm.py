@@ -360,6 +360,31 @@ def test_language(spark, docs, nothing):
     assert {r["lang_pred"] for r in language.identified(docs, none).collect()} == {"und"}
 
 
+def test_only_learnt_languages_stay(spark):
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(9)
+    start = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    junk = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    latin, cyrillic, cjk = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x4E00, 0x5E00)))
+    go = [" ".join(junk(x, rnd.randint(2, 9)) for _ in range(60)) for x in (latin, cyrillic, cjk) for _ in range(10)]
+    go += [junk(x, 400) for x in ("0123456789abcdef", latin + latin.upper() + "0123456789+/") for _ in range(10)]
+    go += [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Все люди рождаются свободными и равными в своём достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    ]
+    stay = ["Von.", "That it.", "Pachque çaneux et.", "Von. " * 60, "Or the, thaninwh thheer erblend. Thorreor haheor atshti it of ingth oner."]
+    stay += [" ".join(r["text"].split()[:n]) for r in start.orderBy("doc_id").limit(20).collect() for n in (2, 5, 15)]
+    stay = [x for x in stay if re.search("[a-z]", x)]
+    rows = [(-1 - i, x, None) for i, x in enumerate(go + stay)]
+    out = pipeline.known_language(spark, start.union(spark.createDataFrame(rows, start.schema)), None)
+    left = {r["doc_id"] for r in out.collect()}
+    assert [x for k, x, _ in rows[: len(go)] if k in left] == []
+    assert [x for k, x, _ in rows[len(go) :] if k not in left] == []
+    assert {r["doc_id"] for r in start.filter("text rlike '[A-Za-z]'").collect()} <= left
+
+
 def test_letter_codes():
     kit = np.frombuffer("Éa中😀".encode(), dtype=np.uint8)
     assert language.letters(kit)[0].tolist() == [ord("é"), ord("a"), ord("中"), ord("😀")]
