@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from codequarry.llm.textkit import _stream, blocks, mix
 
 CODES = 64
-DIMENSIONS = 512
+DIMENSIONS = 1024
 #: Text taken at once; some 80 bytes of arrays stand for each of its bytes.
 BLOCK_BYTES = 1 << 18
 #: Prototypes need this many training documents' trigrams to count at all.

@@ -385,6 +385,15 @@ def test_only_learnt_languages_stay(spark):
     assert {r["doc_id"] for r in start.filter("text rlike '[A-Za-z]'").collect()} <= left
 
 
+def test_trigrams_are_nearly_orthogonal():
+    rnd = np.random.default_rng(3)
+    grams = rnd.choice(language.CODES**3, 400, replace=False)
+    grams = np.array([g for g in grams.tolist() if len({g // 4096, g // 64 % 64, g % 64}) == 3])
+    v = language.gram_vectors(grams).astype(float)
+    cosine = (v @ v.T)[np.triu_indices(len(v), 1)] / v.shape[1]
+    assert np.sqrt((cosine**2).mean()) < 0.035
+
+
 def test_letter_codes():
     kit = np.frombuffer("Éa中😀".encode(), dtype=np.uint8)
     assert language.letters(kit)[0].tolist() == [ord("é"), ord("a"), ord("中"), ord("😀")]
