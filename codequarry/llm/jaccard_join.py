@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.graph import components
 from codequarry.llm.textkit import Kit, blocks, mix, signed
-from codequarry.llm.workspace import Table, bitmap, in_bitmap
+from codequarry.llm.workspace import Table, bitmap, fresh, in_bitmap
 
 HISTOGRAM = 1 << 14
 BITS = 27
@@ -316,9 +316,19 @@ def distinct_documents(docs, percent=75):
     """The rows of docs that stay when one document of each group does: that of the smallest doc_id.
 
     Rows without shingles stay, as do rows that no doc_id names; of repeated
-    rows with one doc_id one stays.  Columns are those of docs.
+    rows with one doc_id and text one stays.  Rows of one doc_id with different
+    texts are different documents.  Columns are those of docs.
     """
-    found = groups(docs, percent)
-    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(stay, "doc_id", "left_semi")
-    return named.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    key = fresh(docs, "key")
+    # a hash of the text stands for the row: doc_id may not tell texts apart
+    keyed = docs.withColumn(key, F.xxhash64("text").bitwiseAND(F.lit(_FAR - 1)))
+    found = groups(keyed.select(F.col(key).alias("doc_id"), "text"), percent).filter("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("component_id"))
+    named = keyed.filter("doc_id is not null")
+    wordless = ~F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+    order = F.struct(F.col("doc_id").cast("long").alias("least"), "doc_id", key)
+    least = named.filter(~wordless).groupBy(key).agg(F.min(order).alias("row"))
+    least = least.join(found, key).groupBy("component_id").agg(F.min("row").alias("row")).select("row.doc_id", f"row.{key}")
+    stay = least.union(named.filter(wordless).select("doc_id", key).distinct())
+    one = named.dropDuplicates(["doc_id", key]).join(stay, ["doc_id", key], "left_semi")
+    return one.unionByName(keyed.filter("doc_id is null")).select(docs.columns)

@@ -257,6 +257,13 @@ def test_distinct_documents(docs, nothing):
     assert jaccard_join.distinct_documents(nothing).count() == 0
 
 
+def test_one_id_with_different_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (3, c), (4, c + " more"), (4, d), (5, d), (6, ""), (7, ""), (7, None)]
+    kept = jaccard_join.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, a), (1, b), (3, c), (4, d), (6, ""), (7, ""), (7, None)])
+
+
 def test_resolve_is_brute_force():
     rnd = random.Random(5)
     for _ in range(30):
