@@ -26,8 +26,6 @@ CODES = 64
 DIMENSIONS = 1024
 #: Text taken at once; some 80 bytes of arrays stand for each of its bytes.
 BLOCK_BYTES = 1 << 18
-#: Prototypes need this many training documents' trigrams to count at all.
-LEAST_TRIGRAMS = 20
 #: A text is familiar if its trigrams' mean product with its language is this share of the training texts' at least,
 FAMILIAR = 0.25
 #: or so many standard errors below the training texts' at most, over its different trigrams: few tell little.
@@ -124,8 +122,6 @@ def prototypes(docs):
     names, profiles, usual = [], [], []
     for lang, part in sorted(rows.groupby("lang"), key=lambda x: x[0]):
         n = part["n"].to_numpy(dtype=float)
-        if n.sum() < LEAST_TRIGRAMS:
-            continue
         total = np.zeros(DIMENSIONS)
         gram = part["gram"].to_numpy().astype(np.int64)
         for i in range(0, len(part), 1024):  # sums of products: the driver starts no pool of BLAS threads

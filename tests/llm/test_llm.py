@@ -392,6 +392,13 @@ def test_only_learnt_languages_stay(spark):
     assert {r["doc_id"] for r in start.filter("text rlike '[A-Za-z]'").collect()} <= left
 
 
+def test_a_language_of_few_words_is_learnt(spark):
+    rows = [(i, "the cat and the other cat sat on that mat", "en") for i in range(20)] + [(20, "çöğ üşı", "tr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identified(df, language.prototypes(df)).collect()
+    assert all(r["lang_pred"] == r["lang"] and r["familiar"] for r in got)
+
+
 def test_trigrams_are_nearly_orthogonal():
     rnd = np.random.default_rng(3)
     grams = rnd.choice(language.CODES**3, 400, replace=False)
