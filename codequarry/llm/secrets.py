@@ -4,13 +4,15 @@ Method: grammar inference.  The credentials that the patterns label are the
 positive examples.  For each kind a prefix tree of its examples (over classes of
 characters) is made, and states whose outgoing frequencies agree by Hoeffding's
 bound are merged, recursively and in breadth-first order, into a probabilistic
-automaton (Alergia).  Every long run of credential characters that no pattern
-covers is a candidate; it is a span of kind `format` if its mean log-likelihood
-a character under some automaton is at least that automaton's threshold, the
-lowest of its own examples' less a margin.
+automaton (Alergia).  Every run of credential characters that no pattern covers
+is a candidate, of 16 characters or as few as an automaton's shortest example
+has; it is a span of kind `format` if its mean log-likelihood a character under
+some automaton is at least that automaton's threshold, the lowest of its own
+examples' less a margin.
 """
 
 import hashlib
+import itertools
 import math
 import re
 from collections import deque
@@ -25,7 +27,10 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = r"[A-Za-z0-9+/_.=-]{%d,}"
+
+#: Candidates of so many characters are scored by every automaton, shorter ones by those with an example as short.
+CANDIDATE_CHARS = 16
 
 #: Examples of a kind that an automaton is learnt from at most, by the hash of their text.
 EXAMPLES = 400
@@ -76,6 +81,7 @@ class Automaton:
             todo += [arc[0] for arc in self.next[todo.pop()].values() if arc[0] not in reached and not reached.add(arc[0])]
         self.states = len(reached)
         self.threshold = min(map(self.score, examples)) - MARGIN
+        self.least = min(CANDIDATE_CHARS, *map(len, examples))
 
     def _agree(self, a, b):
         """Whether two states' futures agree, down both trees."""
@@ -173,17 +179,24 @@ def learnt(labelled):
 def spans(text, automata):
     """All spans of a text, (start, kind number, end)."""
     base = base_spans(text)
-    out, k = list(base), 0
-    reach = sorted((a, b) for a, _, b in base)
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
+    if not automata:
+        return base
+    out, k, least = list(base), 0, min(p.least for p in automata)
+    reach = []
+    for a, _, b in sorted(base):  # what the patterns cover, as disjoint ranges
+        if reach and a <= reach[-1][1]:
+            reach[-1][1] = max(b, reach[-1][1])
+        else:
+            reach.append([a, b])
+    for m in re.finditer(CANDIDATE % least, text):
+        a, end = m.span()
         while k < len(reach) and reach[k][1] <= a:
             k += 1
-        if any(x < b and a < y for x, y in reach[k:]):
-            continue
-        word = m[0]
-        if not word.isalpha() and any(p.score(word) >= p.threshold for p in automata):
-            out.append((a, 3, b))
+        # the run without what the patterns cover
+        for x, y in [*itertools.takewhile(lambda r: r[0] < end, itertools.islice(reach, k, None)), (end, end)]:
+            if x - a >= least and any(x - a >= p.least and p.score(text[a:x]) >= p.threshold for p in automata):
+                out.append((a, 3, x))
+            a = y
     return sorted(out)
 
 

@@ -318,6 +318,18 @@ def test_formats_are_learnt():
     assert [(a, k, b) for a, k, b in found] == [(2, 3, 22)]
 
 
+def test_short_formats_and_parts_of_runs_are_scored():
+    rnd = random.Random(5)
+    make = lambda n, letters="0123456789": "".join(rnd.choice(letters) for _ in range(n))
+    digits = secrets.Automaton(["k-" + make(6) for _ in range(100)])
+    assert [x for x in secrets.spans("see k-123456 and k-12 or letters, password", [digits])] == [(4, 3, 12)]
+    capitals = secrets.Automaton([make(20, "GHJKLMNPQRSTUVWXYZ") for _ in range(100)])
+    assert secrets.spans("an " + "QWXZ" * 5 + " internationalisations", [capitals]) == [(3, 3, 23)]
+    hexes = secrets.Automaton([make(40, "0123456789ABCDEF") for _ in range(100)])
+    run = make(40, "0123456789ABCDEF") + "/token=abcdefgh"
+    assert secrets.spans(run.replace("/", ""), [hexes]) == [(0, 3, 40), (40, 0, 54)]
+
+
 # ---- 7 ---------------------------------------------------------------------------
 
 
