@@ -6,7 +6,8 @@ so one shingle of each window is a sufficient prefix: its rarest one, by counts
 over all documents, ties by hash.  A document's shingles are joined with these
 prefix tokens; each hit gives the only place where the window could stand.
 Bounds on length and place (the window must lie inside the document) drop hits,
-and what remains is compared word by word.
+and what remains is compared word by word (by 64-bit hashes under a key drawn
+for each run).
 
 The benchmark is a query set.  Its windows are taken in blocks of BLOCK_WINDOWS,
 so that what is broadcast has a fixed size; every block reads all documents,
@@ -18,19 +19,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from codequarry.llm.textkit import ALNUM_WORDS, Kit, Words, blocks, mix
+from codequarry.llm.textkit import ALNUM_WORDS, Kit, Words, blocks, draw, mix
 
 SHINGLE = 3
 BLOCK_WINDOWS = 500_000
 
 
-def windows(items, size):
+def windows(items, size, key):
     """{length: (windows by word hashes, item number of each)} of (number, text) pairs, equal windows of an item once."""
-    kit, out = Kit(), {}
+    kit, out = Kit(key), {}
     for number, text in items:
         raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
         w = Words(raw, np.array([0, len(raw)]), ALNUM_WORDS, lower=True)
-        h = w.hashes(kit.bytes)
+        h = kit.hashes(w)
         n = min(size, len(h))
         if n:
             rows = np.unique(np.lib.stride_tricks.sliding_window_view(h, n), axis=0)
@@ -60,18 +61,18 @@ def _shingle_rows(rows):
     return flat.reshape(rows.shape)[:, : rows.shape[1] - n + 1]
 
 
-def counts(docs, known):
+def counts(docs, known, key):
     """How often each of the sorted hashes `known` starts in docs (text), by shingle length (sum over all documents)."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(known)
 
     def count(batches):
-        kit = Kit()
+        kit = Kit(key)
         total = {n: np.zeros(len(x), dtype=np.int64) for n, x in sent.value.items()}
         for batch in batches:
             for _, data, off in blocks(batch.column(0)):
                 w = Words(data, off, ALNUM_WORDS, lower=True)
-                h = w.hashes(kit.bytes)
+                h = kit.hashes(w)
                 for n, x in sent.value.items():
                     s = shingles(h, w.doc, n)
                     at = np.minimum(np.searchsorted(x, s), len(x) - 1)
@@ -86,14 +87,14 @@ def counts(docs, known):
     return out
 
 
-def prefixes(docs, some):
+def prefixes(docs, some, key):
     """[(length, shingle length, sorted tokens, window of each token, offset in it, windows, items)] for each window length."""
     pools, made = {}, {}
     for n, (rows, _) in some.items():
         made[n] = _shingle_rows(rows)
         pools.setdefault(min(SHINGLE, n), []).append(made[n].ravel())
     known = {n: np.unique(np.concatenate(x)) for n, x in pools.items()}
-    seen = counts(docs, known)
+    seen = counts(docs, known, key)
     out = []
     for n, (rows, numbers) in some.items():
         size = min(SHINGLE, n)
@@ -156,10 +157,10 @@ def marked(docs, benchmark, size=13):
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated", "hit_words")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    parts, some, names = [], [], []
+    parts, some, names, key = [], [], [], draw()
 
     def block(some, names):
-        prefix = prefixes(docs, windows(enumerate(some), size))
+        prefix = prefixes(docs, windows(enumerate(some), size, key), key)
         return spark.sparkContext.broadcast((prefix, names))
 
     n = 0
@@ -175,11 +176,11 @@ def marked(docs, benchmark, size=13):
     place = docs.columns.index("text")
 
     def judge(batches):
-        kit = Kit()
+        kit = Kit(key)
         for batch in batches:
             for lo, data, off in blocks(batch.column(place)):
                 w = Words(data, off, ALNUM_WORDS, lower=True)
-                h = w.hashes(kit.bytes)
+                h = kit.hashes(w)
                 hit, found = np.zeros(len(h), dtype=bool), [set() for _ in range(len(off) - 1)]
                 for part in parts:
                     prefix, names = part.value

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from codequarry.llm.graph import components
-from codequarry.llm.textkit import Kit, blocks, mix, signed
+from codequarry.llm.textkit import Kit, Recent, blocks, draw, mix, signed
 from codequarry.llm.workspace import Table, bitmap, fresh, in_bitmap
 
 HISTOGRAM = 1 << 14
@@ -122,15 +122,15 @@ def resolve(sets, label, known, percent):
     return found
 
 
-def _sets(texts):
-    kit, out = Kit(), []
+def _sets(texts, key):
+    kit, out = Kit(key), []
     for _, data, off in blocks(texts):
         g, offsets = kit.shingle_sets(data, off)
         out += [g[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     return out
 
 
-def _regions(table, percent):
+def _regions(table, percent, key):
     """Rows (p, salt, salts, a, rep, text, label, d, part) of regions or blocks of them to links and, of blocks, distances to the pivot.
 
     part: -2 to compare with the pivot alone, -1 for a region, else a pair of
@@ -139,7 +139,7 @@ def _regions(table, percent):
     codes = table.column("text").combine_chunks()
     codes = codes if isinstance(codes, pa.DictionaryArray) else codes.dictionary_encode()
     codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
-    sets, which = _sets(codes.dictionary), codes.indices.to_numpy()
+    sets, which = _sets(codes.dictionary, key), codes.indices.to_numpy()
     p, salt, salts, a, rep, label, part = (table.column(c).to_numpy() for c in ("p", "salt", "salts", "a", "rep", "label", "part"))
     d = table.column("d").to_numpy(zero_copy_only=False).astype(float)
     order = np.lexsort((rep, a != p, part, salt, p))
@@ -174,12 +174,12 @@ def _regions(table, percent):
 _OUT = "u long, v long, p long, a long, d double, label long"
 
 
-def _joined(rows, contents, percent):
+def _joined(rows, contents, percent, key):
     """Links and open distances of rows (p, salt, salts, a, label, d, part), whose texts are in contents (a, rep, n, text)."""
     total = rows.join(contents.select("a", "n"), "a").agg(F.sum("n")).first()[0] or 0
     batches = int(total // BATCH_SHINGLES) + 1
     rows = rows.join(contents, "a").withColumn("batch", F.pmod(F.xxhash64("p", "salt", "part"), F.lit(batches)))
-    return rows.groupBy("batch").applyInArrow(lambda t: _regions(t, percent), _OUT)
+    return rows.groupBy("batch").applyInArrow(lambda t: _regions(t, percent, key), _OUT)
 
 
 def _dealt(members, sizes, part):
@@ -202,10 +202,10 @@ def groups(docs, percent=75):
     link like copies; other columns are ignored; an empty table stays empty.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs, key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), draw()
 
     def sign(batches):
-        kit, often = Kit(), np.zeros(HISTOGRAM, dtype=np.int64)
+        kit, often = Kit(key), np.zeros(HISTOGRAM, dtype=np.int64)
         names = ["doc_id", "n", "a", "b", "place"]
         for batch in batches:
             for lo, data, off in blocks(batch.column(1)):
@@ -229,16 +229,15 @@ def groups(docs, percent=75):
 
     def prefixes(shared=None):
         def emit(batches):
-            kit, seen = Kit(), set()
+            kit, seen = Kit(key), Recent()
             for batch in batches:
                 for _, data, off in blocks(batch.column(0)):
                     g, offsets = kit.shingle_sets(data, off)
                     a, _ = signatures(g, offsets)
                     h, doc, least = prefix_rows(g, offsets, often.value, percent)
-                    if len(seen) > 500_000:
-                        seen.clear()
                     # copies that this task has met give nothing new
-                    new = np.array([x not in seen and not seen.add(x) for x in a.tolist()], dtype=bool)
+                    new = np.zeros(len(a), dtype=bool)
+                    new[seen.new(a)] = True
                     if shared is None:
                         yield pa.record_batch([signed(h[new[doc]])], ["h"])
                         continue
@@ -260,15 +259,13 @@ def groups(docs, percent=75):
     wanted = spark.sparkContext.broadcast(bitmap(ids, "a", BITS))
 
     def texts(batches):
-        kit, seen = Kit(), set()
+        kit, seen = Kit(key), Recent()
         for batch in batches:
             for lo, data, off in blocks(batch.column(0)):
                 g, offsets = kit.shingle_sets(data, off)
                 a, b = signatures(g, offsets)
-                if len(seen) > 500_000:
-                    seen.clear()
                 x = np.flatnonzero(in_bitmap(wanted.value, a) & (np.diff(offsets) > 0))
-                x = np.array([i for i in x.tolist() if (k := (int(a[i]), int(b[i]))) not in seen and not seen.add(k)], dtype=np.int64)
+                x = x[seen.new(a[x], b[x])]
                 yield pa.record_batch([signed(a[x]), signed(b[x]), pc.take(batch.column(0).slice(lo, len(off) - 1), pa.array(x))], ["a", "b", "text"])
 
     found = docs.select("text").mapInArrow(texts, "a long, b long, text string").groupBy("a", "b").agg(F.first("text").alias("text"))
@@ -278,7 +275,7 @@ def groups(docs, percent=75):
     # first each candidate with the least of its pivots: near copies become components
     once = nearest.df.filter("p < a")
     once = once.union(once.select("p", own).distinct()).withColumn("label", F.lit(0).cast("long"))
-    first = Table(_joined(_dealt(once, sizes, -2), contents.df, percent).select("u", "v"))
+    first = Table(_joined(_dealt(once, sizes, -2), contents.df, percent, key).select("u", "v"))
     known = components(first.df)
     # then those that share enough tokens with other components, in the regions of these tokens
     labels = contents.df.select("a", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left").groupBy("a").agg(F.min(F.coalesce("component", "rep")).alias("label"))
@@ -290,7 +287,7 @@ def groups(docs, percent=75):
     pivots = left.groupBy("h").agg(F.min(F.struct("a", "label")).alias("p"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
     members = left.join(pivots.select("h", "p"), "h").select(F.col("p.a").alias("p"), "a", "label", F.col("p.label").alias("own")).distinct()
     everyone = Table(members.select("p", "a", "label").union(members.select("p", own, F.col("own").alias("label"))).distinct())
-    second = Table(_joined(_dealt(everyone.df, sizes, -1), contents.df, percent))
+    second = Table(_joined(_dealt(everyone.df, sizes, -1), contents.df, percent, key))
     open_ = second.df.filter("p is not null").select("p", "a", "d", "label")
     pivots = everyone.df.filter("a = p").select("p", F.col("label").alias("own"))
     far = open_.join(pivots, "p").filter("label <> own").groupBy("p").agg(F.min("d").alias("least"))
@@ -301,7 +298,7 @@ def groups(docs, percent=75):
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
     left = left.withColumn("other", other).withColumn("part", F.least("block", "other") * F.col("k") + F.greatest("block", "other"))
     again = left.select("p", F.lit(0).cast("long").alias("salt"), F.lit(1).cast("long").alias("salts"), "a", "label", "d", "part")
-    more = _joined(again, contents.df, percent).select("u", "v")
+    more = _joined(again, contents.df, percent, key).select("u", "v")
     links = first.df.unionByName(second.df.filter("u is not null").select("u", "v"))
     grouped = components(links.unionByName(more))
     for t in (candidates, nearest, contents, first, across, everyone, second):

@@ -18,7 +18,8 @@ so it is first dealt into shards in which equal windows must meet:
    windows together.
 4. Spans go back to the texts, are merged, and their words are removed.
 
-Hashes of words have 64 bits; contents are compared word for word by these.
+Hashes of words have 64 bits under a key drawn for each run; contents are
+compared word for word by these.
 Texts are identified by two 64-bit hashes, so that null or repeated doc_ids
 change nothing: each row is a document of its own.
 """
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from codequarry.llm.textkit import SPACE_WORDS, Kit, Words, blocks, signed
+from codequarry.llm.textkit import SPACE_WORDS, Kit, Recent, Words, blocks, draw, signed
 from codequarry.llm.workspace import Table, bitmap, in_bitmap
 
 ANCHOR = 8
@@ -53,7 +54,7 @@ def runs_of(words, h, kit, length):
     s = np.flatnonzero(new)
     count = np.diff(np.append(s, len(inside)))
     start = first[s]
-    return grams[arg[s]], start, count, kit.grams.ranges(h, start, start + count + length - 1)
+    return grams[arg[s]], start, count, kit.ranges(h, start, start + count + length - 1)
 
 
 def matching(contents, length):
@@ -135,26 +136,26 @@ _SPANS = "array<struct<o:int,n:int>>"
 def repeated_spans(docs, length):
     """(k1, k2, spans): the repeated windows of each text that has any, as (first word, number of windows)."""
     spark = docs.sparkSession
-    texts = docs.select("text", "k1", "k2")
+    texts, hash_key = docs.select("text", "k1", "k2"), draw()
 
     def keys(batches):
-        kit = Kit()
+        kit = Kit(hash_key)
         for batch in batches:
             for _, data, off in blocks(batch.column(0)):
                 w = Words(data, off, SPACE_WORDS)
-                key, *_ = runs_of(w, w.hashes(kit.bytes), kit, length)
+                key, *_ = runs_of(w, kit.hashes(w), kit, length)
                 yield pa.record_batch([signed(key)], ["h"])
 
     repeated = texts.select("text").mapInArrow(keys, "h long").groupBy("h").count().filter("count > 1")
     maybe = spark.sparkContext.broadcast(bitmap(repeated, "h", BITS))
 
     def places(batches):
-        kit = Kit()
+        kit = Kit(hash_key)
         for batch in batches:
             k1, k2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for lo, data, off in blocks(batch.column(0)):
                 w = Words(data, off, SPACE_WORDS)
-                key, start, n, fp = runs_of(w, w.hashes(kit.bytes), kit, length)
+                key, start, n, fp = runs_of(w, kit.hashes(w), kit, length)
                 x = np.flatnonzero(in_bitmap(maybe.value, key))
                 doc = w.doc[start[x]]
                 yield pa.record_batch([signed(key[x]), signed(fp[x]), pa.array(k1[doc + lo]), pa.array(k2[doc + lo]), pa.array((start[x] - w.first[doc]).astype(np.int32)), pa.array(n[x].astype(np.int32))], ["h", "fp", "k1", "k2", "start", "n"])
@@ -167,19 +168,16 @@ def repeated_spans(docs, length):
     wanted = spark.sparkContext.broadcast(bitmap(contested, "h", BITS))
 
     def contents(batches):
-        kit, seen = Kit(), set()
+        kit, seen = Kit(hash_key), Recent()
         for batch in batches:
             for _, data, off in blocks(batch.column(0)):
                 w = Words(data, off, SPACE_WORDS)
-                h = w.hashes(kit.bytes)
+                h = kit.hashes(w)
                 key, start, n, fp = runs_of(w, h, kit, length)
                 x = np.flatnonzero(in_bitmap(wanted.value, key))
-                _, one = np.unique(np.stack([key[x], fp[x]]), axis=1, return_index=True) if len(x) else (None, x)
-                if len(seen) > 500_000:
-                    seen.clear()
-                x = [i for i in x[one] if (p := (int(key[i]), int(fp[i]))) not in seen and not seen.add(p)]
+                x = x[seen.new(key[x], fp[x])]  # copies that this task has met give nothing new
                 sizes = n[x] + length - 1
-                at = np.repeat(start[x] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum()) if len(x) else np.zeros(0, dtype=np.int64)
+                at = np.repeat(start[x] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), signed(h[at]))
                 yield pa.record_batch([signed(key[x]), signed(fp[x]), lists], ["h", "fp", "words"])
 

@@ -42,13 +42,14 @@ def drop(spark, path):
     fs.delete(at, True)
 
 
-#: Rows that Spark hands to Python at once.
-BATCH_ROWS = 1000
+#: Rows and bytes that Spark hands to Python at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def small_batches(spark):
-    """Bounds what lies between the JVM and its Python workers: whole texts can be long."""
+    """Bounds what lies between the JVM and its Python workers, as whole texts can be long: two settings of the caller's session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 class Table:

@@ -420,6 +420,48 @@ def test_trigrams_are_nearly_orthogonal():
     assert np.sqrt((cosine**2).mean()) < 0.035
 
 
+def thue_morse(n, a="a", b="b"):
+    s = a
+    while len(s) < n:
+        s += s.translate({ord(a): b, ord(b): a})
+    return s
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_under_polynomials(spark, n):
+    x, y = thue_morse(n), thue_morse(n, "b", "a")
+    shared = " ".join(f"w{i}" for i in range(40))
+    many_x, many_y = (" ".join(s) for s in (x, y))
+    rows = list(enumerate([x, y, f"{shared} {x}", f"{shared} {y}", x + " " + shared, many_x, many_y]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    library = Tokenizer.from_file(tokenizer())
+    path = folder(spark)
+    token_codes.write(df, path, tokenizer(), 1)
+    ids = {k: library.encode(t, add_special_tokens=False).ids for k, t in rows}
+    assert {r["doc_id"]: r["ids_crc32"] for r in token_codes.read(spark, path).collect()} == {k: crc(v + [1]) for k, v in ids.items()}
+    packed = packing.packed(df, tokenizer(), 0, 1 << 15).collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in packed} == {k: crc(v + [0]) for k, v in ids.items()}
+    same(span_dedup.digest(df, 35).collect(), spans_by_hand(rows, 35))
+    same(jaccard_join.groups(df).collect(), groups_by_hand(rows))
+    marked = decontam.marked(df, spark.createDataFrame([(1, x)], "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_hit"] for r in marked} == {k: t.split().count(x) for k, t in rows}
+
+
+def test_one_very_long_text(spark):
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("abcdefgé") for _ in range(rnd.randint(1, 9))) for _ in range(5000)]
+    text = " ".join(rnd.choices(vocabulary, k=500_000)) + " " + "z" * 700_000 + "!" * 700_000
+    rows = [(1, text), (2, text + " x"), (3, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    library = Tokenizer.from_file(tokenizer())
+    path = folder(spark)
+    token_codes.write(df, path, tokenizer(), 1)
+    assert {r["doc_id"]: r["ids_crc32"] for r in token_codes.read(spark, path).collect()} == {k: crc(library.encode(t, add_special_tokens=False).ids + [1]) for k, t in rows}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.groups(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in span_dedup.digest(df).collect()} == {1: (500_001, 500_001), 2: (500_002, 500_001), 3: (1, 0)}
+    assert quality.judged(df, df.select("doc_id")).count() == language.identified(df, language.prototypes(df.withColumn("lang", F.lit("xx")))).count() == 3
+
+
 def test_letter_codes():
     kit = np.frombuffer("Éa中😀".encode(), dtype=np.uint8)
     assert language.letters(kit)[0].tolist() == [ord("é"), ord("a"), ord("中"), ord("😀")]
