@@ -16,40 +16,68 @@ def fingerprint(c, n=4):
     return let(tokenize(c), made)
 
 
+def hashed_print(c, n=4):
+    """As fingerprint, each n-gram as a 64-bit hash."""
+    def made(t):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(t) - n, F.lit(0)))
+        return F.array_sort(F.array_distinct(F.when(F.size(t) < n, F.transform(t, lambda x: F.xxhash64(x))).otherwise(F.transform(starts, lambda i: F.xxhash64(*(F.get(t, i + k) for k in range(n)))))))
+
+    return let(tokenize(c), made)
+
+
 def fingerprints(df, key, text, n=4):
     return df.select(F.col(key).alias("id"), fingerprint(F.coalesce(F.col(text), F.lit("")), n).alias("grams")).withColumn("size", F.size("grams"))
 
 
-def prefixes(prints, counts, percent):
-    """(id, size, gram): the rarest grams of each print, as many as two prints over the threshold must share one of."""
-    rare = prints.select("id", "size", F.explode("grams").alias("gram")).join(counts, "gram")
-    ranked = rare.groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("g"))
+def classes(df, key, text, n=4):
+    """(id, print): each row's class of equal prints, and (print, grams, size), one row a class.  Rows without tokens are in none."""
+    rows = df.select(F.col(key).alias("id"), hashed_print(F.coalesce(F.col(text), F.lit("")), n).alias("grams")).filter(F.size("grams") > 0)
+    rows = cut(rows.withColumn("print", F.concat(F.hex(F.xxhash64("grams")), F.hex(F.xxhash64(F.lit(1), "grams")))))
+    return rows.select("id", "print"), rows.groupBy("print").agg(F.first("grams").alias("grams")).withColumn("size", F.size("grams"))
+
+
+#: Buckets of the histogram by which grams count as rare: a table of fixed size.
+BUCKETS = 1 << 15
+
+
+def prefixes(prints, often, percent):
+    """(print, size, gram): the rarest grams of each print, as many as two prints over the threshold must share one of."""
+    ranked = F.array_sort(F.transform("grams", lambda g: F.struct(F.get(often, F.pmod(g, F.lit(BUCKETS)).cast("int")).alias("often"), g.alias("g"))))
     need = F.ceil(F.lit(percent) * F.col("size") / 100).cast("int")
-    return ranked.select("id", "size", F.explode(F.slice("g", F.lit(1), F.col("size") - need + 1)).alias("x")).select("id", "size", F.col("x.gram").alias("gram"))
+    return prints.select("print", "size", F.explode(F.transform(F.slice(ranked, F.lit(1), F.col("size") - need + 1), lambda x: x["g"])).alias("gram"))
 
 
-def similar_pairs(left, right, percent=80, ordered=True):
-    """(a, b, similarity) of prints with a Jaccard similarity of percent / 100 or more; ordered: of one table, a < b.
+def similar_classes(left, right=None, percent=80):
+    """(a, b, similarity) of prints of one table, a < b, or of two, with a Jaccard similarity of percent / 100 or more.
 
     Candidates share a rare gram and have sizes in reach; each is then compared
-    as a whole.  Empty prints are never similar.
+    as a whole.  Equal prints of one table are one class, so a group of copies
+    costs one comparison.
     """
-    both = left if ordered else left.unionByName(right)
-    counts = both.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
-    a, b = prefixes(left, counts, percent).alias("a"), prefixes(right, counts, percent).alias("b")
+    both = left if right is None else left.unionByName(right)
+    counts = both.select(F.explode("grams").alias("gram")).groupBy(F.pmod("gram", F.lit(BUCKETS)).alias("k")).agg(F.count("*").alias("n"))
+    table = {r["k"]: r["n"] for r in counts.collect()}  # BUCKETS rows at most
+    often = F.split(F.lit(",".join(str(table.get(k, 0)) for k in range(BUCKETS))), ",").cast("array<long>")
+    a, b = prefixes(left, often, percent).alias("a"), prefixes(left if right is None else right, often, percent).alias("b")
     on = (F.col("a.gram") == F.col("b.gram")) & (100 * F.least("a.size", "b.size") >= percent * F.greatest("a.size", "b.size"))
-    on = on & (F.col("a.id") < F.col("b.id")) if ordered else on
-    candidates = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    x = left.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    y = right.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
+    on = on & (F.col("a.print") < F.col("b.print")) if right is None else on
+    candidates = a.join(b, on).select(F.col("a.print").alias("a"), F.col("b.print").alias("b")).distinct()
+    x = left.select(F.col("print").alias("a"), F.col("grams").alias("ga"))
+    y = (left if right is None else right).select(F.col("print").alias("b"), F.col("grams").alias("gb"))
     whole = candidates.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("ga", "gb")))
     union = F.size("ga") + F.size("gb") - F.col("both")
     return whole.filter(100 * F.col("both") >= percent * union).select("a", "b", (F.col("both") / union).alias("similarity"))
 
 
 def near_dup_pairs(df, key, text, n=4, percent=80):
-    prints = cut(fingerprints(df, key, text, n).filter("size > 0"))
-    return similar_pairs(prints, prints, percent)
+    """(a, b, similarity) of all rows, a < b: pairs of classes, and what copies make of them."""
+    rows, prints = classes(df, key, text, n)
+    prints = cut(prints)
+    pairs = similar_classes(prints, None, percent).select(F.col("a").alias("x"), F.col("b").alias("y"), "similarity")
+    same = rows.groupBy("print").count().filter("count > 1").select(F.col("print").alias("x"), F.col("print").alias("y"), F.lit(1.0).alias("similarity"))
+    left, right = rows.select(F.col("id").alias("a"), F.col("print").alias("x")), rows.select(F.col("id").alias("b"), F.col("print").alias("y"))
+    every = pairs.unionByName(same).join(left, "x").join(right, "y").filter((F.col("x") != F.col("y")) | (F.col("a") < F.col("b")))
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def greedy_accept(ids, pairs):
@@ -70,12 +98,29 @@ def greedy_accept(ids, pairs):
 
 
 def accepted(df, key, text, n=4, percent=80):
-    """Greedy near-duplicate removal over a table."""
-    return greedy_accept(df.select(F.col(key).alias("id")), near_dup_pairs(df, key, text, n, percent))
+    """Greedy near-duplicate removal over a table: only the first of a class of equal prints can be accepted."""
+    rows, prints = classes(df, key, text, n)
+    prints = cut(prints.join(rows.groupBy("print").agg(F.min("id").alias("first")), "print"))
+    pairs = similar_classes(prints.drop("first"), None, percent)
+    first = prints.select("print", "first")
+    pairs = pairs.join(first.withColumnsRenamed({"print": "a", "first": "x"}), "a").join(first.withColumnsRenamed({"print": "b", "first": "y"}), "b")
+    decided = greedy_accept(first.select(F.col("first").alias("id")), pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    out = df.select(F.col(key).alias("id")).join(rows.join(first, "print").select("id", "first"), "id", "left")
+    stays = decided.withColumnsRenamed({"id": "first", "accepted": "_yes"})
+    return out.join(stays, "first", "left").select("id", (F.col("first").isNull() | ((F.col("id") == F.col("first")) & F.col("_yes"))).alias("accepted"))
+
+
+def known_prints(*tables):
+    """Distinct prints (print, grams, size) of several tables of prints."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.dropDuplicates(["print"])
 
 
 def similar_to_corpus(df, key, text, corpus, corpus_key, corpus_text, n=4, percent=80):
     """Ids of df that are similar to a row of the corpus, which counts as accepted."""
-    new = cut(fingerprints(df, key, text, n).filter("size > 0"))
-    old = cut(fingerprints(corpus, corpus_key, corpus_text, n).filter("size > 0"))
-    return similar_pairs(new, old, percent, ordered=False).select(F.col("a").alias("id")).distinct()
+    rows, new = classes(df, key, text, n)
+    new, old = cut(new), cut(classes(corpus, corpus_key, corpus_text, n)[1])
+    hit = similar_classes(new, old, percent).select(F.col("a").alias("print")).distinct()
+    return rows.join(hit, "print", "left_semi").select("id").distinct()

@@ -1,13 +1,27 @@
-"""Word lists of the gates of each family: fixed values, in their natural order.
-
-Lists of more than 200 words are parameters of gates.validate_family.
-"""
+"""Word lists of the gates of each family: fixed values, in their natural order."""
 # fmt: off
 # Words of definitions
 DESER_FUNCTIONS = (
     "def ", "func ", "fn ", "function ", "async function", "public ", "private ", "protected ", "static ", "void ", "async ", "const ", "let ",
     "var ", "fun ", "<?php", "class ", "interface ", "router.", "app.get(", " do\n", " do |",
 )
+CRYPTO_FUNCTIONS = (
+    "def ", "func ", "function ", "public ", "private ", "protected ", "static ", "async function", "void ", "class ", "module.exports", "fn ", "fun ",
+    "sub ", "object ", "interface ",
+)
+SQL_FUNCTIONS = (
+    "def ", "func ", "fn ", "function ", "async function", "public ", "private ", "protected ", "internal ", "override ", "static ", "void ", "async ",
+    "const ", "let ", "var ", "module.exports", "exports.", "<?php", "fun ", "object ", "class ", "interface ", "router.", "app.get(", "app.post(",
+    "app.put(", "http.HandleFunc(", "Route::", "@app.route", "@router.", " do\n", " do |", "post '", "get '", "post \"", "get \"", "@GetMapping",
+    "@PostMapping", "@RequestMapping",
+)
+XSS_FUNCTIONS = SQL_FUNCTIONS
+XML_FUNCTIONS = (
+    "def ", "func ", "fn ", "public ", "private ", "protected ", "internal ", "override ", "static ", "void ", "async ", "function ", "async function",
+    "const ", "let ", "var ", "module.exports", "exports.", "<?php", "fun ", "object ", "class ", "interface ", "sub ", "Route(", "router.", "app.get(",
+    "app.post(", "app.put(", "http.HandleFunc(", "http.Handle(", "Route::", "@app.route", "@router.", " do\n", " do |", "post '", "get '", "post \"",
+    "get \"",
+)
 PATH_FUNCTIONS = (
     "def ", "func ", "fn ", "public ", "private ", "protected ", "internal ", "override ", "static ", "void ", "async ", "function ",
     "async function", "const ", "let ", "var ", "module.exports", "exports.", "function ", "<?php", "def ", "do |", "fun ", "object ", "class ",
@@ -174,6 +188,33 @@ SQL_BROAD = (
     "Execute(", "400", "403", "BadRequest", "Forbidden", "int(", "Integer", "intval(", "isdigit", "re.match", "Pattern", "Regex", "preg_match", "ORM",
     "orm", "repository", "Repository",
 )
+# those that hold no word of XML_BROAD, which decides before them
+XML_MITIGATION = (
+    "defusedxml", "defused_xml", "from defusedxml", "import defusedxml", "forbid_dtd", "forbid_entities", "forbid_external", "no_network",
+    "resolve_entities=False", "load_dtd=False", "XMLParser(", "no_network=True", "XMLParser(resolve_entities", "XMLParser(no_network",
+    "etree.XMLParser(", "lxml.etree", "markupsafe", "setFeature(", "DISALLOW_DOCTYPE_DECL", "setExpandEntityReferences(false", "setValidating(false",
+    "http://apache.org/xml/features", "external-general-entities", "external-parameter-entities", "disallow-doctype-decl", "setXIncludeAware(false",
+    "newDocumentBuilder()", "DocumentBuilderFactory", "XMLInputFactory", "IS_SUPPORTING_EXTERNAL_ENTITIES", "SUPPORT_DTD",
+    "setProperty(XMLInputFactory", "IS_NAMESPACE_AWARE", "IS_VALIDATING", "XPathVariableResolver", "setXPathVariableResolver", "setVariable(",
+    "XPathConstants", "TransformerFactory.newInstance(", "setErrorListener", "DtdProcessing.Ignore", "XmlReaderSettings", "XmlResolver = null",
+    "XmlUrlResolver", "new XmlReaderSettings", "settings.DtdProcessing", "LIBXML_NONET", "LIBXML_DTDLOAD", "LIBXML_NOENT",
+    "libxml_set_external_entity_loader", "LIBXML_NONET | LIBXML_DTDLOAD", "htmlspecialchars(", "htmlentities(", "addslashes(", "filter_var(",
+    "processEntities: false", "allowBooleanAttributes", "explicitArray", "ignoreAttrs", "parseXml", "xmlbuilder", "require('xmlbuilder",
+    'require("xmlbuilder', "xml.NewDecoder(", "d.Entity", "http.MaxBytesReader(", "io.LimitReader(", "golang.org/x/net/html",
+    "Nokogiri::XML::ParseOptions::NONET", "Nokogiri::XML::ParseOptions::NOBLANKS", "parse_options:", "NONET", "NOENT",
+    "Nokogiri::XML(body, nil, nil,", "options.nononet", "options.nonet", "Nokogiri::XML::ParseOptions::DEFAULT_XML", "factory.setFeature(",
+    "dbf.setFeature(", "XMLConstants.ACCESS_EXTERNAL_DTD", "setProperty(XMLConstants", "xpath.evaluate(", "XPathVariable", "param_", "bind_variable",
+    "bindVariable", "Schema(", "XmlSchema", ".xsd", "xmlschema", "SchemaFactory", "schema.newValidator", "re.match(", "re.fullmatch(", "re.sub(",
+    "Regex(", "enableExtensions = false", "setExtensionElementPrefixes", "no_extensions", "spf.setFeature(", "builder.setFeature(",
+    "parser.setFeature(", 'setFeature("http://xml.org', 'setFeature("http://javax.xml', "ACCESS_EXTERNAL_SCHEMA", "factory.setAttribute(",
+    "dbf.setAttribute(", "newSAXParser()", "SAXParserFactory.newInstance(", "defusedxml.ElementTree", "defusedxml.minidom",
+    "defusedxml.expatbuilder", "defusedxml.sax", "defusedxml.pulldom", "from defusedxml import", "etree.XMLParser(no_network",
+    "etree.XMLParser(resolve_entities", "forbid_dtd=True", "settings.XmlResolver = null", "new XmlReaderSettings()", "XmlReader.Create(",
+    "settings.MaxCharactersFromEntities", "XmlDocument.XmlResolver = null", "entities: false", "allowEntities", "entityExpansion", "parseOptions",
+    "strict: true", "LIBXML_NONET | LIBXML_DTDATTR", "strip_tags(", "preg_replace(", "charsetReader", "charset.NewReaderLabel", "xml.CopyToken",
+    "xml.Token", "Nokogiri::XML(xml_string, nil, nil,", "ParseOptions::NONET", "ParseOptions::DEFAULT_XML", "Nokogiri::XML.parse(",
+    ".parse(doc, nil, nil,", "maxDepth", "raise", "throw", "Exception(", "Error(", "return nil", "return null", "return false", "abort(", "halt(",
+)
 XML_BROAD = (
     "disable", "Disable", "DISABLE", "prohibit", "Prohibit", "PROHIBIT", "restrict", "Restrict", "prevent", "secure", "Secure", "SECURE", "safe_",
     "Safe", "_safe", "validate", "Validate", "VALIDATE", "verify", "Verify", "check_", "is_valid", "isValid", "is_safe", "encode", "Encode", "ENCODE",

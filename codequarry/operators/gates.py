@@ -6,7 +6,7 @@ from operator import or_
 
 from pyspark.sql import functions as F
 
-from codequarry.functions.lines import split_lines, stripped_set
+from codequarry.functions.lines import let, split_lines, stripped_set
 from codequarry.functions.text import contains_any, first_contained, has_function, jaccard, strip, strip_comments, tokenize, wp_tokens
 from codequarry.operators import gate_words as words
 
@@ -28,6 +28,7 @@ class Limits:
     tier3: int | None = None
     indicator_last: bool = False
     longer: int = 8
+    plain: tuple = ("#", "//", "import ", "from ", "using ", "require ", "package ")  # beginnings of lines that add nothing
 
 
 # Words of SQL lines
@@ -39,17 +40,15 @@ FAMILY_LIMITS = {
     "deser": Limits((80, 800), (100, 900), 1400, 440, 8, (0.12, 0.995), tier3=1),
     "path": Limits((70, 1200), (90, 1300), 1900, 512, 8, (0.12, 0.97), indicator_last=True),
     "sqli": Limits((80, 1200), (100, 1300), 1900, 512, 8, (0.15, 0.995), True, SQL_WORDS, 1, True, 2),
-    "xml": Limits((70, 1200), (90, 1300), 1900, 512, 8, (0.12, 0.97), tier3=2, indicator_last=True, longer=10),
+    "xml": Limits((70, 1200), (90, 1300), 1900, 512, 8, (0.12, 0.97), tier3=2, indicator_last=True, longer=10, plain=("#", "//", "import ", "from ", "using ")),
     "xss": Limits((120, 1200), (130, 1300), 1900, 512, 10, (0.12, 0.995), True, words.XSS_RENDER, 2, False, 1),
 }
-# Beginnings of lines that add nothing
-PLAIN_STARTS = ("#", "//", "import ", "from ", "using ", "require ", "package ")
 
 
-def meaningful_new_lines(vuln, safe, longer=8):
-    """Stripped lines of safe that vuln hasn't, longer than `longer`, neither comment nor import."""
-    plain = lambda x: reduce(or_, (x.startswith(p) for p in PLAIN_STARTS))
-    return F.filter(F.array_except(stripped_set(safe), stripped_set(vuln)), lambda x: (F.length(x) > longer) & ~plain(x))
+def meaningful_new_lines(vuln_lines, safe_lines, limits):
+    """Lines of safe that vuln hasn't, longer than the limit, neither comment nor import."""
+    plain = lambda x: reduce(or_, (x.startswith(p) for p in limits.plain))
+    return F.filter(F.array_except(safe_lines, vuln_lines), lambda x: (F.length(x) > limits.longer) & ~plain(x))
 
 
 def validate(vuln, safe, limits, forbidden=(), indicators=None, mitigation=None, broad=(), function_words=None, unsafe=()):
@@ -61,9 +60,15 @@ def validate(vuln, safe, limits, forbidden=(), indicators=None, mitigation=None,
     unsafe: calls of the vulnerable text that stay need one of those or two new
     lines.
     """
+    # what several rules look at is computed once for a row
+    parts = F.struct(tokenize(vuln).alias("vt"), tokenize(safe).alias("st"), stripped_set(vuln).alias("vl"), stripped_set(safe).alias("sl"))
+    return let(parts, lambda x: let(meaningful_new_lines(x["vl"], x["sl"], limits), lambda new: _reason(vuln, safe, x, new, limits, forbidden, indicators, mitigation, broad, function_words, unsafe)))
+
+
+def _reason(vuln, safe, x, new, limits, forbidden, indicators, mitigation, broad, function_words, unsafe):
     has = has_function if function_words is None else lambda c: contains_any(c, function_words)
     v, s = F.length(vuln), F.length(safe)
-    vt, st = tokenize(vuln), tokenize(safe)
+    vt, st = x["vt"], x["st"]
     similar = jaccard(vt, st)
     rules = [
         ((F.coalesce(vuln, F.lit("")) == "") | (F.coalesce(safe, F.lit("")) == ""), "empty block"),
@@ -84,45 +89,42 @@ def validate(vuln, safe, limits, forbidden=(), indicators=None, mitigation=None,
         (similar >= limits.similarity[1], "pair too similar"),
     ]
     if limits.equal_lines:
-        a, b = stripped_set(vuln), stripped_set(safe)
-        rules.append(((F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0), "line-identical"))
+        rules.append(((F.size(F.array_except(x["vl"], x["sl"])) == 0) & (F.size(F.array_except(x["sl"], x["vl"])) == 0), "line-identical"))
     if limits.sink_words:
-        sinks = lambda c: F.array_sort(F.filter(stripped_set(c), lambda x: contains_any(x, limits.sink_words)))
-        rules.append(((F.size(sinks(vuln)) >= limits.least_sinks) & (sinks(vuln) == sinks(safe)), "sink lines unchanged"))
-    new = meaningful_new_lines(vuln, safe, limits.longer)
+        sinks = lambda c: F.array_sort(F.filter(c, lambda y: contains_any(y, limits.sink_words)))
+        rules.append(((F.size(sinks(x["vl"])) >= limits.least_sinks) & (sinks(x["vl"]) == sinks(x["sl"])), "sink lines unchanged"))
     if limits.new_lines:
         rules.append((F.size(new) < 1, "no meaningful new lines"))
     if forbidden:
-        rules.append((first_contained(strip_comments(safe), forbidden).isNotNull(), "forbidden pattern"))
-    last = []
+        first = first_contained(strip_comments(safe), forbidden)
+        rules.append((first.isNotNull(), F.concat(F.lit("forbidden pattern: "), first)))
+    last, after = [], []
     if unsafe:
         stays = reduce(or_, (F.contains(vuln, F.lit(w)) & F.contains(safe, F.lit(w)) for w in unsafe))
-        rules_after = [(stays & ~contains_any(safe, (*mitigation, *broad)) & (F.size(new) < 2), "unsafe call stays")]
-    else:
-        rules_after = []
+        after = [(stays & ~contains_any(safe, (*mitigation, *broad)) & (F.size(new) < 2), "unsafe call stays")]
     if indicators:
         last.append((~contains_any(vuln, indicators), "no indicator"))
     if mitigation is not None:
         ok = contains_any(safe, (*mitigation, *broad))
         ok = ok | (F.size(new) >= limits.tier3) if limits.tier3 else ok
         last.append((~ok, "no mitigation"))
-    rules += reversed(last) if limits.indicator_last else [*last[:1], *rules_after, *last[1:]] if indicators else [*rules_after, *last]
-    return F.coalesce(*(F.when(c, F.lit(r)) for c, r in rules), F.lit(None).cast("string"))
+    rules += reversed(last) if limits.indicator_last else [*last[:1], *after, *last[1:]] if indicators else [*after, *last]
+    return F.coalesce(*(F.when(c, r if not isinstance(r, str) else F.lit(r)) for c, r in rules), F.lit(None).cast("string"))
 
 
 #: Words of each family's gate, as arguments of validate()
 FAMILY_WORDS = {
-    "crypto": {},
+    "crypto": {"function_words": words.CRYPTO_FUNCTIONS},
     "deser": {"indicators": words.DESER_INDICATORS, "mitigation": words.DESER_MITIGATION, "broad": words.DESER_BROAD, "function_words": words.DESER_FUNCTIONS, "unsafe": words.DESER_UNSAFE},
     "path": {"indicators": words.PATH_INDICATORS, "mitigation": words.PATH_MITIGATION, "function_words": words.PATH_FUNCTIONS},
-    "sqli": {"indicators": words.SQL_INDICATORS, "mitigation": words.SQL_MITIGATION, "broad": words.SQL_BROAD},
-    "xml": {"indicators": words.XML_INDICATORS, "mitigation": (), "broad": words.XML_BROAD},
-    "xss": {"indicators": (*words.XSS_INPUT, *words.XSS_OUTPUT), "mitigation": words.XSS_MITIGATION, "broad": words.XSS_BROAD},
+    "sqli": {"indicators": words.SQL_INDICATORS, "mitigation": words.SQL_MITIGATION, "broad": words.SQL_BROAD, "function_words": words.SQL_FUNCTIONS},
+    "xml": {"indicators": words.XML_INDICATORS, "mitigation": words.XML_MITIGATION, "broad": words.XML_BROAD, "function_words": words.XML_FUNCTIONS},
+    "xss": {"indicators": (*words.XSS_INPUT, *words.XSS_OUTPUT), "mitigation": words.XSS_MITIGATION, "broad": words.XSS_BROAD, "function_words": words.XSS_FUNCTIONS},
 }
 
 
 def validate_family(vuln, safe, family, forbidden=(), **more):
-    """validate() with a family's limits and words; `more` replaces its words (the expected ones of a subtype, the long list of XML)."""
+    """validate() with a family's limits and words; `more` replaces its words (the expected ones of a subtype)."""
     return validate(vuln, safe, FAMILY_LIMITS[family], forbidden, **{**FAMILY_WORDS[family], **more})
 
 

@@ -82,12 +82,21 @@ def localized(label, text, start, end, narrow=None, broad=None):
 
 def sink_windows(df, key, text, radius=7, most=64, sinks=None):
     """Windows of `radius` lines around the first sink of each family and bucket of lines; `most` for a text, in line order."""
-    rows = df.select(key, split_lines(F.col(text)).alias("_all")).select(key, "_all", F.posexplode("_all").alias("pos", "x")).withColumn("line", F.col("pos") + 1)
-    part = code_part(F.col("x"))
-    found = [F.when(any_match(part, p, "(?i)"), F.lit(f)) for f, p in (sinks or SINKS).items()]
-    hits = rows.select(key, "_all", "line", F.explode(F.filter(F.array(*found), lambda f: f.isNotNull())).alias("hint_family"))
+    # hits are found inside the row: only they, not all lines, go on
+    def found(x):
+        def families(line, i):
+            part = code_part(line)
+            own = F.array(*(F.when(any_match(part, p, "(?i)"), F.lit(f)) for f, p in (sinks or SINKS).items()))
+            return F.transform(F.filter(own, lambda f: f.isNotNull()), lambda f: F.struct((i + 1).alias("line"), f.alias("hint_family")))
+
+        return F.flatten(F.transform(x, families))
+
+    rows = df.select(key, split_lines(F.col(text)).alias("_all"))
+    hits = rows.select(key, F.explode(found(F.col("_all"))).alias("h")).select(key, "h.*")
     bucket = F.greatest(F.lit(1), F.floor(F.col("line") / radius))
     first = hits.withColumn("_b", bucket).withColumn("_r", F.row_number().over(Window.partitionBy(key, "hint_family", "_b").orderBy("line"))).filter("_r = 1")
     kept = first.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("line", "hint_family"))).filter(F.col("_r") <= most)
-    lo, hi = F.greatest(F.lit(1), F.col("line") - radius), F.least(F.size("_all"), F.col("line") + radius)
-    return kept.select(key, "hint_family", F.col("line").alias("sink_line"), lo.alias("start_line"), hi.alias("end_line"), F.array_join(F.slice("_all", lo, hi - lo + 1), "\n").alias("text"))
+    near = kept.groupBy(key).agg(F.collect_list(F.struct("hint_family", "line")).alias("_h"))
+    lo, hi = F.greatest(F.lit(1), F.col("h.line") - radius), F.least(F.size("_all"), F.col("h.line") + radius)
+    out = rows.join(near, key).select(key, "_all", F.explode("_h").alias("h"))
+    return out.select(key, "h.hint_family", F.col("h.line").alias("sink_line"), lo.alias("start_line"), hi.alias("end_line"), F.array_join(F.slice("_all", lo, hi - lo + 1), "\n").alias("text"))

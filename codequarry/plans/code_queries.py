@@ -147,7 +147,7 @@ _gate("markdown_valid", lambda: gates.markdown_gate(F.concat(F.col("code"), F.wh
 
 _WORDS = (" the ", " of ", " de ", " la ", " der ", " die ", " le ", " un ")
 _LIMITS = gates.Limits((100, 6000), (120, 6500), 9000, 2600, 8, (0.02, 0.97), True, (" the ", " de "), 1, True, 2)
-_FORBIDDEN, _INDICATORS, _MITIGATION = ("Licensed under",), (".",), ("token = ",)
+_FORBIDDEN, _INDICATORS, _MITIGATION = ("Licensed under", "password"), (".",), ("token = ",)
 
 
 def _has(c, words):
@@ -165,7 +165,7 @@ def _validate_sql(source, key, limits, forbidden, words):
     from codequarry.plans.text_queries import TOKEN, _nested
 
     functions, fix = words.get("function_words") or FUNCTION_KEYWORDS, (*(words.get("mitigation") or ()), *words.get("broad", ()))
-    starts = " OR ".join(f"starts_with(x, {literal(p)})" for p in gates.PLAIN_STARTS)
+    starts = " OR ".join(f"starts_with(x, {literal(p)})" for p in limits.plain)
     sinks = lambda c: f"list_sort(list_filter({c}, lambda x: {_has('x', limits.sink_words)}))"
     cases = [
         ("v = '' OR s = ''", "empty block"), (f"NOT {_has('v', functions)}", "vuln: no function"), (f"NOT {_has('s', functions)}", "safe: no function"),
@@ -182,7 +182,8 @@ def _validate_sql(source, key, limits, forbidden, words):
     if limits.new_lines:
         cases.append(("len(new) < 1", "no meaningful new lines"))
     if forbidden:
-        cases.append((_has(_nested("s", [(p, "") for p in COMMENTS]), forbidden), "forbidden pattern"))
+        bare = _nested("s", [(p, "") for p in COMMENTS])
+        cases += [(f"contains({bare}, {literal(w)})", f"forbidden pattern: {w}") for w in forbidden]
     last = []
     if words.get("indicators"):
         last.append((f"NOT {_has('v', words['indicators'])}", "no indicator"))
