@@ -74,6 +74,51 @@ def pair_budget(vuln: Column, safe: Column, budget: int, floor: int) -> Column:
     return F.struct(*(F.greatest(F.lit(floor).cast("long"), F.floor(budget * x / total)).alias(name) for name, x in (("vuln", vuln), ("safe", safe))))
 
 
+def fitted(vuln: Column, safe: Column, chars: int, tokens: int, floors=(240, 60, 70, 65)) -> Column:
+    """struct(vuln, safe): a pair cut to its budgets, first of characters, then of tokens.
+
+    floors: least characters of the first text, least tokens of the two texts
+    under the budget of characters, least tokens of the first under that of
+    tokens.  What the first text's share leaves is the second's.
+    """
+    long = lambda x: F.length(x).cast("long")
+
+    def share(budget, a, b, floor):
+        return F.greatest(F.lit(floor).cast("long"), F.floor(budget * a / F.greatest(a + b, F.lit(1))))
+
+    def both(v, s):
+        return F.struct(v.alias("vuln"), s.alias("safe"))
+
+    def by_chars(x):
+        v, s = x["vuln"], x["safe"]
+        own = share(chars, long(v), long(s), floors[0])
+        short = both(
+            F.when(long(v) > own, truncated(v, F.greatest(F.lit(floors[1]).cast("long"), F.floor(own / 4)))).otherwise(v),
+            F.when(long(s) > chars - own, truncated(s, F.greatest(F.lit(floors[2]).cast("long"), F.floor((chars - own) / 4)))).otherwise(s),
+        )
+        return F.when(long(v) + long(s) > chars, short).otherwise(x)
+
+    def by_tokens(x):
+        v, s = x["vuln"], x["safe"]
+        a, b = wp_tokens(v), wp_tokens(s)
+        own = share(tokens, a, b, floors[3])
+        short = both(F.when(a > own, truncated(v, own)).otherwise(v), F.when(b > tokens - own, truncated(s, tokens - own)).otherwise(s))
+        return F.when(a + b > tokens, short).otherwise(x)
+
+    return let(let(both(vuln, safe), by_chars), by_tokens)
+
+
+def depths(c: Column, opens: str = "{", closes: str = "}") -> Column:
+    """Depth of nesting before each line; a closing character at depth 0 does nothing."""
+    def step(a, line):
+        marks = F.regexp_extract_all(line, F.lit(r"([\%s\%s])" % (opens, closes)), F.lit(1))
+        after = F.aggregate(marks, a["now"], lambda d, m: F.greatest(F.lit(0), d + F.when(m == opens, 1).otherwise(-1)))
+        return F.struct(after.alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(split_lines(c), start, step, lambda a: a["out"])
+
+
 def stripped_set(c: Column) -> Column:
     """Distinct non-blank stripped lines."""
     return F.array_distinct(F.filter(F.transform(lines(c), strip), lambda x: x != ""))

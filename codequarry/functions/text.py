@@ -207,5 +207,43 @@ def redact(c: Column, secret: str) -> Column:
     return F.replace(c, F.lit(secret), F.lit("***")) if secret else c
 
 
+def either_case(c: Column, name: str, default) -> Column:
+    """The member of a JSON object called Name or name, else the default, as text."""
+    field = lambda k: F.get_json_object(c, f"$.{k}")
+    return F.coalesce(field(name[:1].upper() + name[1:]), field(name[:1].lower() + name[1:]), F.lit(str(default)))
+
+
+def json_list(c: Column, name: str, kind: str = "int") -> Column:
+    """A member of a JSON object if it is a list of that kind, else null."""
+    return F.try_variant_get(F.try_parse_json(c), f"$.{name}", f"array<{kind}>")
+
+
+def full_name(first: Column, last: Column) -> Column:
+    """Both with a space between; null counts as empty."""
+    return F.concat(F.coalesce(first, F.lit("")), F.lit(" "), F.coalesce(last, F.lit("")))
+
+
+def key_part(c: Column, size: int = 60) -> Column:
+    """What lineage keys and titles keep of a text: its first characters."""
+    return F.left(c, F.lit(size))
+
+
+# What an error's detail holds, the status and the message it becomes
+ERROR_ROUTES = (
+    ("Unsupported file type", 400, "Unsupported file type."),
+    ("empty", 400, "Uploaded file is empty."),
+    ("Failed to read file", 422, "File could not be decoded as UTF-8."),
+    ("Message cannot be empty", 400, "Chat message cannot be empty."),
+)
+REJECTED = (400, "AI agent rejected the request.")
+
+
+def error_route(detail: Column) -> Column:
+    """struct(status, message) of an error's detail, by the first route that fits; null without a detail."""
+    made = lambda status, message: F.struct(F.lit(status).alias("status"), F.lit(message).alias("message"))
+    out = F.coalesce(*(F.when(F.contains(detail, F.lit(w)), made(s, m)) for w, s, m in ERROR_ROUTES), made(*REJECTED))
+    return F.when(detail.isNotNull(), out)
+
+
 def family_key(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit(" "), F.lit("_"))

@@ -89,7 +89,11 @@ def greedy_accept(ids, pairs):
     """
     edges = cut(pairs.select("a", "b").distinct())
     state = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("accepted", F.lit(None).cast("boolean")))
-    while state.filter("accepted is null").limit(1).count():
+    left = None
+    while undecided := state.filter("accepted is null").count():
+        if undecided == left:
+            raise ValueError("pairs that lead in a circle: ids must be unique and a before b")
+        left = undecided
         before = edges.join(state.withColumnsRenamed({"id": "a", "accepted": "first"}), "a")
         seen = before.groupBy("b").agg(F.bool_or(F.coalesce("first", F.lit(False))).alias("hit"), F.bool_or(F.col("first").isNull()).alias("open"))
         new = state.join(seen.withColumnRenamed("b", "id"), "id", "left")

@@ -32,6 +32,15 @@ def scores_map(logits, families=rules.FAMILIES):
     return F.map_from_arrays(F.array(*map(F.lit, families)), softmax(logits))
 
 
+def label_ids(families=rules.FAMILIES):
+    """Map of label to id, from 0."""
+    return F.create_map(*(F.lit(x) for p in zip(families, range(len(families)), strict=True) for x in p))
+
+
+def id_labels(families=rules.FAMILIES):
+    return F.create_map(*(F.lit(x) for p in zip(range(len(families)), families, strict=True) for x in p))
+
+
 def model_scorer(load):
     """A scorer from load() -> (list of texts -> list of (vuln_score, family_scores)); load runs once in each task."""
     import pandas as pd

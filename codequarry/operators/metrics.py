@@ -73,9 +73,36 @@ def axis_counts(df, axes):
     return sets.select(name.alias("axis"), value.alias("value"), "n")
 
 
-def funnel(df, reason):
-    """Kept and skipped rows, and the whole percent skipped."""
-    rows = df.agg(F.count_if(F.col(reason).isNull()).alias("kept"), F.count_if(F.col(reason).isNotNull()).alias("skipped"))
+def total_items(df, *lists):
+    """How many elements the lists of all rows have; null counts as empty."""
+    return df.agg(*(F.coalesce(F.sum(F.size(F.coalesce(c, F.array()))), F.lit(0)).cast("long").alias(c) for c in lists))
+
+
+def report_summary(results, success="RepairSuccess", model="ModelUsed", by=()):
+    """Findings, repaired ones and the distinct models of these, sorted."""
+    models = F.sort_array(F.collect_set(F.when(F.col(success), F.col(model))))
+    return results.groupBy(*by).agg(F.count("*").alias("findings"), F.count_if(F.col(success)).alias("repaired"), models.alias("models"))
+
+
+def scan_summary(chunks, vulnerable="is_vulnerable", by=()):
+    """Chunks and vulnerable ones."""
+    return chunks.groupBy(*by).agg(F.count("*").alias("total_chunks"), F.count_if(F.col(vulnerable)).alias("vulnerable_chunks"))
+
+
+def span(c):
+    """struct(low, high) of a list of lines."""
+    return F.struct(F.array_min(c).alias("low"), F.array_max(c).alias("high"))
+
+
+def least_key(c):
+    """The key of a map's smallest value, the smaller key on ties."""
+    return F.array_min(F.transform(F.map_entries(c), lambda e: F.struct(e["value"].alias("v"), e["key"].alias("k"))))["k"]
+
+
+def funnel(df, reason, error=None):
+    """Kept and skipped rows, the whole percent skipped, and errors (a boolean column), which are neither."""
+    failed = F.lit(False) if error is None else F.coalesce(F.col(error), F.lit(False))
+    rows = df.agg(F.count_if(F.col(reason).isNull() & ~failed).alias("kept"), F.count_if(F.col(reason).isNotNull() & ~failed).alias("skipped"), *([F.count_if(failed).alias("errors")] if error else []))
     total = F.col("kept") + F.col("skipped")
     return rows.withColumn("skip_percent", F.when(total == 0, 0).otherwise(F.floor(100 * F.col("skipped") / total)).cast("long"))
 

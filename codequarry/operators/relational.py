@@ -41,6 +41,43 @@ def rejected(findings, types):
     return findings.join(F.broadcast(types.select(F.col("VulnName").alias("label"))), "label", "left_anti")
 
 
+def first_or_null(df, predicate, order):
+    """One row always: the first that the predicate holds for, or nulls."""
+    first = F.min_by(F.struct(*df.columns), F.col(order)).alias("x")
+    return df.filter(predicate).agg(first).select("x.*")
+
+
+def newest(df, order, n=1):
+    """The n last rows by `order`, a list of columns that decides."""
+    return df.orderBy(*(F.desc(c) for c in order)).limit(n)
+
+
+def named(df, names, key, name, fallback="Untitled_Chat"):
+    """df with the name that another table has for its key, or the fallback."""
+    return df.join(names.select(key, F.col(name).alias("_name")), key, "left").withColumn(name, F.coalesce("_name", F.lit(fallback))).drop("_name")
+
+
+def first_match(df, by, predicate, value, order):
+    """(by, value): the value of the first row of each group that the predicate holds for."""
+    return df.filter(predicate).groupBy(*by).agg(F.min_by(value, order).alias(value))
+
+
+def affected(df, predicate):
+    """How many rows a change of those that the predicate holds for touches."""
+    return df.agg(F.count_if(predicate).alias("affected"))
+
+
+def compensated(df, failed, key):
+    """df without what a failed ingest (key) has written already."""
+    return df.join(failed.select(key).distinct(), key, "left_anti").select(df.columns)
+
+
+def findings(sessions):
+    """One row for each finding of sessions with a list Findings."""
+    rest = [c for c in sessions.columns if c != "Findings"]
+    return sessions.select(*rest, F.explode("Findings").alias("_f")).select(*rest, *(F.col(f"_f.{f.name}").alias(f.name) for f in sessions.schema["Findings"].dataType.elementType if f.name not in rest))
+
+
 def updated(df, predicate, **values):
     """df with columns set where the predicate holds."""
     return df.withColumns({c: F.when(predicate, F.lit(v) if not hasattr(v, "_jc") else v).otherwise(F.col(c)) for c, v in values.items()})

@@ -10,35 +10,64 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 MAX_REGION, PAD, RELOCATE, BACK = 160, 15, 15, 40
-_IMPORT = re.compile(r"\s*(import\b|from\s+\S+\s+import\b|(const|let|var)\s+.*=\s*require\(|#include\b|using\s+[\w.]+;|package\b)")
+# Import lines by extension, and how far and over how many blank lines they are looked for
+_SCRIPT = r"import\s|export\s+.*from\s|(?:const|let|var)\s+.+=\s*require\(|require\("
+IMPORT_LINES = {
+    "py": r"import\s|from\s+\S+\s+import\s", "js": _SCRIPT, "jsx": _SCRIPT, "ts": _SCRIPT, "tsx": _SCRIPT, "java": r"package\s|import\s", "cs": r"using\s",
+    "php": r"require|require_once|include|include_once|use\s", "rb": r"require", "go": r"package\s|import\s",
+}
+SCANNED, BLANKS = 80, 2
+_COMMENT = ("#", "//", "/*", "*")
 _HEAD = re.compile(r"\s*([@#*/]|//|async\b|export\b|public\b|private\b|protected\b|static\b)")
 
 
+# a regular expression literal, and what stands before one
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_BEFORE_REGEX = re.compile(r"(?:\A|[(,=:\[!&|?{};+\-*%~^<>]|\b(?:return|typeof|case|in|of|delete|void|throw))\s*\Z")
+
+
 def blank_code(text):
-    """The text with comments and strings as spaces, so that columns and lines stay."""
+    """The text with comments, strings and regular expressions as spaces, so that columns and lines stay.
+
+    The code inside ${ } of a template stays code.
+    """
     out, i, n, quote = list(text), 0, len(text), ""
+    open_ = []  # braces open inside each ${ }
+    blank = lambda a, b: out.__setitem__(slice(a, b), [c if c == "\n" else " " for c in text[a:b]])
     while i < n:
-        two = text[i : i + 2]
+        c, two = text[i], text[i : i + 2]
         if quote:
-            if text[i] == "\\":
-                out[i : i + 2] = [c if c == "\n" else " " for c in text[i : i + 2]]
+            if c == "\\":
+                blank(i, i + 2)
                 i += 2
                 continue
-            if text[i] == quote or text[i] == "\n" and quote != "`":
+            if quote == "`" and two == "${":
+                blank(i, i + 2)
+                open_.append(0)
+                quote, i = "", i + 2
+                continue
+            if c == quote or c == "\n" and quote != "`":
                 quote = ""
-            if text[i] != "\n":
-                out[i] = " "
+            blank(i, i + 1)
             i += 1
         elif two in ("//", "/*"):
             end = text.find("\n" if two == "//" else "*/", i + 2)
             end = n if end < 0 else end if two == "//" else end + 2
-            for k in range(i, end):
-                if text[k] != "\n":
-                    out[k] = " "
+            blank(i, end)
             i = end
+        elif c == "/" and (m := _REGEX.match(text, i)) and _BEFORE_REGEX.search("".join(out[max(0, i - 40) : i])):
+            blank(i, m.end())
+            i = m.end()
+        elif open_ and c == "}" and not open_[-1]:
+            open_.pop()
+            blank(i, i + 1)
+            quote, i = "`", i + 1
         else:
-            if text[i] in "'\"`":
-                quote, out[i] = text[i], " "
+            if open_ and c in "{}":
+                open_[-1] += 1 if c == "{" else -1
+            if c in "'\"`":
+                blank(i, i + 1)
+                quote = c
             i += 1
     return "".join(out)
 
@@ -85,7 +114,7 @@ def region(text, low, high, python=False):
     return max(1, low - PAD), min(n, high + PAD), "window"
 
 
-def import_place(lines):
+def import_place(lines, extension="js"):
     """The number of lines after which an import goes: behind a shebang, a docstring, use strict and the imports at the top."""
     i = 0
     if lines and lines[0].startswith("#!"):
@@ -99,33 +128,59 @@ def import_place(lines):
             break
     if i < len(lines) and lines[i].strip().strip(";") in ("'use strict'", '"use strict"'):
         i += 1
-    last = i
-    for k in range(i, len(lines)):
-        if _IMPORT.match(lines[k]):
-            last = k + 1
-        elif lines[k].strip():
+    return max(i, import_end(lines, extension) or 0)
+
+
+def import_end(lines, extension="js"):
+    """The number of the last import line, or None: comments don't end the imports, other code and three blank lines do."""
+    pattern, last, blank = IMPORT_LINES.get(extension), None, 0
+    if not pattern:
+        return None
+    for k, line in enumerate(lines[:SCANNED]):
+        if re.match(r"\s*(?:" + pattern + ")", line):
+            last, blank = k + 1, 0
+        elif not line.strip():
+            blank += 1
+            if last and blank > BLANKS:
+                break
+        elif last and not line.strip().startswith(_COMMENT):
             break
     return last
 
 
-def add_imports(text, imports):
+def add_imports(text, imports, extension="js"):
     """The text with the distinct imports that it hasn't."""
     new = [x for x in dict.fromkeys(i.strip() for i in imports) if x and x not in text]
     if not new:
         return text
     lines = text.splitlines()
-    at = import_place(lines)
+    at = import_place(lines, extension)
     return "\n".join(lines[:at] + new + lines[at:])
 
 
-def fold(text, patches):
+def parses(text):
+    """Whether a text is a Python program."""
+    import ast
+
+    try:
+        ast.parse(text)
+    except (SyntaxError, ValueError):
+        return False
+    return True
+
+
+def fold(text, patches, extension="js", valid=None):
     """Patches [(start, end, code, imports)] on a file, from the bottom up: (text, applied).
 
     A patch whose first line has moved is looked for within RELOCATE lines and
-    applied only if it is there exactly once.  Imports come last.
+    applied only if it is there exactly once.  With a check `valid` of whole
+    texts a patch is committed only if the text passes with it.  Imports come
+    last; if the text fails with them, it goes without them and the patches
+    that need some don't count; if it fails even so, the original stays.
     """
     original = text.splitlines()
     lines, done, imports = list(original), [], []
+    valid = valid if valid is not None and valid(text) else None  # a text that fails before tells nothing of patches
     for start, end, code, more in sorted(patches, key=lambda p: -p[0]):
         if not 1 <= start <= end <= len(original):
             done.append(False)
@@ -138,20 +193,34 @@ def fold(text, patches):
                 done.append(False)
                 continue
             at = near[0]
-        lines[at - 1 : at + end - start] = code.splitlines()
+        new = [*lines[: at - 1], *code.splitlines(), *lines[at + end - start :]]
+        if valid and not valid("\n".join(new)):
+            done.append(False)
+            continue
+        lines = new
         imports += list(more)
-        done.append(True)
-    return add_imports("\n".join(lines), imports), sum(done)
+        done.append("needs" if list(more) else True)
+    return final(text, "\n".join(lines), imports, done, extension, valid)
+
+
+def final(original, plain, imports, done, extension="js", valid=None):
+    """(text, applied) of a folded text: with its imports, else without them, else the original."""
+    whole = add_imports(plain, imports, extension)
+    if valid is None or valid(whole):
+        return whole, sum(map(bool, done))
+    if valid(plain):
+        return plain, sum(d is True for d in done)
+    return original, 0
 
 
-def patched_files(files, patches, key, text):
-    """files with repaired text and the number of applied patches.  patches: key, start, end, code, imports."""
+def patched_files(files, patches, key, text, extension="js", valid=None):
+    """files with repaired text and the number of applied patches.  patches: key, start, end, code, imports; extension and valid as in fold()."""
 
     def run(_, left, right):
         if not len(left):
             return pd.DataFrame({key: [], "repaired": [], "applied": []})
         rows = [(int(r.start), int(r.end), r.code, list(r.imports)) for r in right.itertuples()]
-        out = [fold(t, rows) for t in left[text]]
+        out = [fold(t, rows, extension, valid) for t in left[text]]
         return pd.DataFrame({key: left[key], "repaired": [o[0] for o in out], "applied": [o[1] for o in out]})
 
     kind = files.schema[key].dataType.simpleString()

@@ -29,6 +29,18 @@ def shuffled(df, keys, seed="0"):
     return df.orderBy(F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.lit(seed)).cast("binary")), *keys)
 
 
+def resumed(df, keys, kept, seed="0"):
+    """(position, ...): the shuffled order, begun at place kept % n, as a run that has kept so many rows goes on."""
+    order = Window.orderBy(F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.lit(seed)).cast("binary")), *keys)
+    n = F.count("*").over(Window.partitionBy())
+    return df.withColumn("position", F.pmod(F.row_number().over(order) - 1 - F.pmod(F.lit(kept).cast("long"), n), n).cast("long"))
+
+
+def up_to(df, order, target):
+    """The first `target` rows, where a run stops."""
+    return df.orderBy(*order).limit(target)
+
+
 def allowed(df, whitelist, subtype="subtype", lang="lang"):
     """Rows but those whose subtype holds a key (key, langs) that doesn't list their language."""
     w = F.broadcast(whitelist)

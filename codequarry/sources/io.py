@@ -1,5 +1,6 @@
 """Readers and writers."""
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import functions as F
@@ -61,9 +62,13 @@ def read_checkpoint(spark, path, schema=CHECKPOINT):
 
 def read_uploads(spark, path):
     """(filename, content) of files with a known extension that aren't blank; broken UTF-8 is replaced."""
+    return uploads(spark.read.format("binaryFile").load(path))
+
+
+def uploads(files):
+    """As read_uploads, of rows (path, content)."""
     from codequarry.functions.text import extension, strip
 
-    files = spark.read.format("binaryFile").load(path)
     out = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("content"))
     out = out.filter(extension(F.col("filename")).isin(*EXTENSIONS)).withColumn("content", lossy_text(F.col("content")))
     return out.filter(strip(F.col("content")) != "")
@@ -80,6 +85,18 @@ def file_contents(df, path_column, spark, folder):
     return df.join(files, path_column, "left")
 
 
+def ingested(files, schema=PAIR):
+    """Rows of JSONL files (filename, content): (rows, errors), errors as (filename, line, text) for each line that isn't such an object.
+
+    A bad line costs its file nothing else, and a bad file the others nothing.
+    """
+    lines = files.select("filename", F.posexplode(F.split("content", "\n")).alias("at", "text")).filter(F.trim("text") != "")
+    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    parsed = lines.withColumn("x", F.from_json("text", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    rows = parsed.filter("x._bad is null").select("filename", *(F.col(f"x.{f.name}").alias(f.name) for f in schema))
+    return rows, parsed.filter("x._bad is not null").select("filename", (F.col("at") + 1).cast("long").alias("line"), "text")
+
+
 def family(c):
     names = F.create_map(*(F.lit(x) for p in FAMILY_ALIASES.items() for x in p))
     return F.coalesce(F.try_element_at(names, c), c)
@@ -106,6 +123,22 @@ def write_metrics(df, path):
 
 
 def write_graph(path, **tables):
-    """Appends each table of an ingest to its own Parquet table."""
+    """Writes the tables of an ingest and commits them as one: readers see all of them or none.
+
+    Each ingest has its own folder under a name of its own; the commit is an
+    empty file, made when all tables are written.
+    """
+    number, path = uuid.uuid4().hex, path.rstrip("/")
     for name, df in tables.items():
-        df.write.mode("append").parquet(f"{path.rstrip('/')}/{name}")
+        df.write.parquet(f"{path}/{name}/ingest={number}")
+    spark = next(iter(tables.values())).sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits/{number}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, False).close()
+
+
+def read_graph(spark, path, name):
+    """A table of the committed ingests; an error where there is none."""
+    path = path.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return spark.read.parquet(*(f"{path}/{name}/ingest={f.getPath().getName()}" for f in files))

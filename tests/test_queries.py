@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from codequarry.plans import code_queries, registry, report_queries, text_queries  # noqa: F401
+from codequarry.plans import code_queries, model_queries, registry, report_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
