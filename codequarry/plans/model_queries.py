@@ -317,9 +317,9 @@ def pair_fitted(spark, sf_dir):
     return both.select("doc_id", L.fitted(F.col("v"), F.col("s"), 1900, 300).alias("x")).select("doc_id", F.length("x.vuln").cast("long").alias("vuln"), F.length("x.safe").cast("long").alias("safe"))
 
 
-@query(f"SELECT count(*) AS n FROM (SELECT DISTINCT CASE WHEN len(t) < 4 THEN list_sort(list_distinct(t)) ELSE list_sort(list_distinct(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], '|')))) END AS g FROM (SELECT regexp_extract_all(text, {TOKEN}) AS t FROM documents UNION ALL SELECT regexp_extract_all(text, {TOKEN}) FROM benchmark)) WHERE len(g) > 0")
+@query(f"SELECT count(*) AS n FROM (SELECT DISTINCT CASE WHEN len(t) < 4 THEN list_sort(list_distinct(t)) ELSE list_sort(list_distinct(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], '|')))) END AS g FROM (SELECT regexp_extract_all(text, {TOKEN}) AS t FROM conversations UNION ALL SELECT regexp_extract_all(text, {TOKEN}) FROM benchmark)) WHERE len(g) > 0")
 def known_prints(spark, sf_dir):
-    old, new = (dedup.classes(table(spark, sf_dir, t), k, "text")[1] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    old, new = (dedup.classes(table(spark, sf_dir, t), k, "text")[1] for t, k in (("conversations", "conv_id"), ("benchmark", "item_id")))
     return dedup.known_prints(old, new).agg(F.count("*").alias("n"))
 
 
