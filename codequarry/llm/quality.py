@@ -29,8 +29,11 @@ def words(text):
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda x: x != "")
 
 
-def base(docs):
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; null text has none of anything."""
+def base(docs, **more):
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; null text has none of anything.
+
+    more: further columns, each a function of the words.
+    """
     text = F.coalesce("text", F.lit(""))
     worded = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
@@ -45,18 +48,20 @@ def base(docs):
 
             return F.sort_array(F.transform(F.filter(g, twice), lambda x: x["i"]))
 
+        hashes = F.transform(some, lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+        none = let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
         start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
         step = lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last"))
-        return F.aggregate(let(grams, positions), start, step, lambda a: a["n"])
+        return F.when(none, 0).otherwise(F.aggregate(let(grams, positions), start, step, lambda a: a["n"]))
 
     both = fresh(docs, "_both")
     out = docs.withColumns({
-        both: let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), covered(w).cast("long").alias("r"))),
+        both: let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), covered(w).cast("long").alias("r"), *(f(w).alias(c) for c, f in more.items()))),
         "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     })
-    out = out.withColumns({"n_words": F.col(both)["n"], "n_repeat_words": F.col(both)["r"]}).drop(both)
+    out = out.withColumns({"n_words": F.col(both)["n"], "n_repeat_words": F.col(both)["r"], **{c: F.col(both)[c] for c in more}}).drop(both)
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -82,9 +87,11 @@ def judged(docs, trusted, threshold=THRESHOLD):
 
     kept: not base_failed, and score >= threshold.  Null ids can be judged but
     not trusted; without trusted documents all scores follow the corpus alone.
-    Repeated rows are judged alike; existing columns of these names are replaced.
+    Repeated rows are judged alike; existing columns of these names are replaced;
+    an empty or null text fails the base, an empty table stays empty.  Arrays of
+    a text's words and their hashes stand in memory, some 100 bytes a word.
     """
     table = F.split(F.lit(",".join(map(repr, log_ratios(docs, trusted)))), ",").cast("array<double>")
-    score = let(let(words(F.col("text")), grams), lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.greatest(F.size(g), F.lit(1)))
-    out = base(docs).withColumn("score", score)
+    score = lambda w: let(grams(w), lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.greatest(F.size(g), F.lit(1)))
+    out = base(docs, score=score)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

@@ -12,7 +12,6 @@ examples' less a margin.
 """
 
 import hashlib
-import itertools
 import math
 import re
 from collections import deque
@@ -34,8 +33,8 @@ CANDIDATE_CHARS = 16
 
 #: Examples of a kind that an automaton is learnt from at most, by the hash of their text.
 EXAMPLES = 400
-#: Least examples of a kind.
-FEWEST = 5
+#: Longest examples that are learnt from: an automaton has a state for each of their characters at most.
+EXAMPLE_CHARS = 256
 ALPHA = 0.05
 MARGIN = 0.1
 _CLASSES = {**dict.fromkeys("0123456789", 0), **dict.fromkeys("abcdef", 1), **dict.fromkeys("ghijklmnopqrstuvwxyz", 2), **dict.fromkeys("ABCDEF", 3), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", 4), **{c: 5 + i for i, c in enumerate("+/_.=-")}}
@@ -152,14 +151,14 @@ class Automaton:
 
 
 def examples(docs):
-    """{kind: examples}: of all credentials that the patterns find in docs (text), EXAMPLES by hash for each kind."""
+    """{kind: examples}: of all credentials of up to EXAMPLE_CHARS that the patterns find in docs (text), EXAMPLES by hash for each kind."""
 
     def label(batches):
         for batch in batches:
             out = set()
             for x in batch.column(0).to_pylist():
                 if x:
-                    out.update((KINDS[s[1]], credential(x, s)) for s in base_spans(x))
+                    out.update((KINDS[s[1]], v) for s in base_spans(x) if len(v := credential(x, s)) <= EXAMPLE_CHARS)
             yield pa.record_batch([pa.array([k for k, _ in out], pa.string()), pa.array([v for _, v in out], pa.string())], ["kind", "value"])
 
     written = Table(docs.select("text").mapInArrow(label, "kind string, value string").distinct())
@@ -172,8 +171,8 @@ def examples(docs):
 
 
 def learnt(labelled):
-    """Automata of the kinds that have FEWEST examples."""
-    return [Automaton(x) for _, x in sorted(labelled.items()) if len(x) >= FEWEST]
+    """Automata of the kinds that have an example."""
+    return [Automaton(x) for _, x in sorted(labelled.items()) if x]
 
 
 def spans(text, automata):
@@ -193,10 +192,12 @@ def spans(text, automata):
         while k < len(reach) and reach[k][1] <= a:
             k += 1
         # the run without what the patterns cover
-        for x, y in [*itertools.takewhile(lambda r: r[0] < end, itertools.islice(reach, k, None)), (end, end)]:
+        j = k
+        while a < end:
+            x, y = reach[j] if j < len(reach) and reach[j][0] < end else (end, end)
             if x - a >= least and any(x - a >= p.least and p.score(text[a:x]) >= p.threshold for p in automata):
                 out.append((a, 3, x))
-            a = y
+            a, j = y, j + 1
     return sorted(out)
 
 

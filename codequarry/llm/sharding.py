@@ -21,6 +21,8 @@ RUNS = 64
 
 
 class ShardTable:
+    """A table of shards at a path of the shared file system, with one schema; files of target_bytes are whole."""
+
     def __init__(self, spark, path, schema, target_bytes=128 << 20):
         self.spark, self.path, self.schema, self.target = spark, path.rstrip("/"), schema, target_bytes
 
@@ -65,11 +67,26 @@ class ShardTable:
         df.write.parquet(at)
         return [{"file": p, "bytes": n, "tier": self._tier(n)} for p, n in sorted(self._list(at)) if p.endswith(".parquet")]
 
+    def _land(self, new, change):
+        """Commits change(shards) as a new version, again after a lost race; the new files go if that can't be."""
+        while True:
+            base = self.manifest()
+            try:
+                return self._commit(base, change(base["shards"]))
+            except Exception as e:
+                if isinstance(e, RuntimeError) or self.manifest()["version"] == base["version"]:
+                    self._delete(new)
+                    raise
+
+    def _delete(self, shards):
+        for s in shards:
+            fs, at = filesystem(self.spark, s["file"])
+            fs.delete(at, False)
+
     def append(self, df):
-        """Adds an arrival: its files, in a new version."""
+        """Adds an arrival: its files, in a new version; an empty one adds no rows.  df has the table's columns, others are left out."""
         new = self._written(df.select([f.name for f in self.schema]))
-        base = self.manifest()
-        return self._commit(base, base["shards"] + new)
+        return self._land(new, lambda shards: shards + new)
 
     def runs(self, shards):
         """Lists of files of one tier that together are of the target size at most, FANOUT files of a tier at least."""
@@ -106,21 +123,24 @@ class ShardTable:
                 for p in parts[1:]:
                     whole = whole.union(p)
                 new += self._written(whole)
-            self._commit(base, [s for s in base["shards"] if s["file"] not in gone] + new)
-
-    def vacuum(self):
-        """Deletes the files and manifests of all versions but the last."""
-        now = self.manifest()
-        live = {s["file"] for s in now["shards"]}
-        for v in self.versions()[:-1]:
-            for s in self.manifest(v)["shards"]:
-                if s["file"] not in live:
-                    fs, at = filesystem(self.spark, s["file"])
-                    fs.delete(at, False)
+
+            def swapped(shards, gone=gone, new=new):
+                if not gone <= {s["file"] for s in shards}:
+                    raise RuntimeError("another compaction was first")
+                return [s for s in shards if s["file"] not in gone] + new
+
+            self._land(new, swapped)
+
+    def vacuum(self, keep=1):
+        """Deletes the files and manifests of all versions but the last `keep`: as many as readers may still hold."""
+        known = self.versions()
+        live = {s["file"] for v in known[-keep:] for s in self.manifest(v)["shards"]}
+        for v in known[:-keep]:
+            self._delete([s for s in self.manifest(v)["shards"] if s["file"] not in live])
             fs, at = filesystem(self.spark, f"{self.path}/manifests/{v:020d}.json")
             fs.delete(at, False)
 
     def read(self, version=None):
-        """The rows of a version."""
+        """The rows of a version, the last one unless named; none of an empty table.  Nulls and repeated rows are as they came."""
         files = [s["file"] for s in self.manifest(version)["shards"]]
         return self.spark.read.schema(self.schema).parquet(*files) if files else self.spark.createDataFrame([], self.schema)

@@ -105,7 +105,9 @@ def write(docs, path, tokenizer, end_id):
     """Writes the ids of docs (doc_id, text) to a store at `path`.
 
     Documents come in ascending doc_id order, null first, equal ids by text.
-    Null text counts as empty; each document ends with `end_id`.
+    Null text counts as empty; each document ends with `end_id`.  Repeated rows
+    are documents of their own, other columns are ignored, an empty table makes
+    a store without segments.
     """
 
     def segments(batches):
@@ -116,7 +118,7 @@ def write(docs, path, tokenizer, end_id):
         def flush():
             nonlocal number, before, ids, sizes, names
             run, n = np.concatenate(ids), np.concatenate(sizes)
-            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(run)], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([pack(run)], pa.binary())], ["part", "segment", "before", "n_ids", "doc_ids", "sizes", "codes"])
+            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(run)], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([pack(run)], pa.binary()), *(pa.array([f((x for x in names if x is not None), default=None)], pa.int64()) for f in (min, max))], ["part", "segment", "before", "n_ids", "doc_ids", "sizes", "codes", "least_id", "last_id"])
             number, before, ids, sizes, names = number + 1, before + len(run), [], [], []
             return row
 
@@ -133,11 +135,11 @@ def write(docs, path, tokenizer, end_id):
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(segments, "part int, segment int, before long, n_ids long, doc_ids array<long>, sizes array<long>, codes binary").write.parquet(path)
+    ordered.mapInArrow(segments, "part int, segment int, before long, n_ids long, doc_ids array<long>, sizes array<long>, codes binary, least_id long, last_id long").write.parquet(path)
 
 
 def read(spark, path):
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files of a store."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files of a store; no rows of one without segments."""
     store = spark.read.parquet(path)
     # one row for each partition that was written
     parts = store.groupBy("part").agg(F.sum("n_ids").alias("n"))
@@ -155,8 +157,11 @@ def read(spark, path):
 
 
 def token(spark, path, doc_id, i):
-    """The id at place `i` of a document, or None; reads one segment and decodes one id."""
-    row = spark.read.parquet(path).filter(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).select("doc_ids", "sizes", "codes").first()
+    """The id at place `i` of a document, or None; statistics lead to its segment, where one id is decoded.
+
+    Of several documents of one doc_id it is one's; null names none.
+    """
+    row = spark.read.parquet(path).filter(F.lit(doc_id).cast("long").between(F.col("least_id"), F.col("last_id"))).filter(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).select("doc_ids", "sizes", "codes").first()
     if row is None:
         return None
     k = row["doc_ids"].index(doc_id)

@@ -330,6 +330,40 @@ def test_short_formats_and_parts_of_runs_are_scored():
     assert secrets.spans(run.replace("/", ""), [hexes]) == [(0, 3, 40), (40, 0, 54)]
 
 
+def test_many_spans_in_one_text():
+    import time
+
+    rnd = random.Random(3)
+    automaton = secrets.Automaton(["".join(rnd.choice("0123456789") for _ in range(12)) for _ in range(50)])
+    text = " ".join(f"token=abc{i:06d}" if i % 2 else f"{i:012d}" for i in range(50_000))
+    began = time.time()
+    found = secrets.spans(text, [automaton])
+    assert Counter(k for _, k, _ in found)[0] == 25_000 and Counter(k for _, k, _ in found)[3] > 24_000
+    assert time.time() - began < 20
+
+
+def test_format_spans_are_the_automaton_s():
+    """Added spans against every candidate cut and scored by hand."""
+    rnd = random.Random(12)
+    letters = "0123456789abcdefXYZ/+=-"
+    automata = [secrets.Automaton(["".join(rnd.choice("0123456789abcdef") for _ in range(30)) for _ in range(60)])]
+    for _ in range(40):
+        text = " ".join(rnd.choice(["token=abcdefgh", "AKIA" + "Q" * 20, "".join(rnd.choice(letters) for _ in range(rnd.randint(5, 45))), "".join(rnd.choice("0123456789abcdef") for _ in range(23))]) + rnd.choice(["", "/x", "."]) for _ in range(12))
+        base = secrets.base_spans(text)
+        covered = {i for a, _, b in base for i in range(a, b)}
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+            i = m.start()
+            while i < m.end():
+                j = i
+                while j < m.end() and j not in covered:
+                    j += 1
+                if j - i >= automata[0].least and automata[0].score(text[i:j]) >= automata[0].threshold:
+                    want.append((i, 3, j))
+                i = j + 1
+        assert secrets.spans(text, automata) == sorted([*base, *want])
+
+
 # ---- 7 ---------------------------------------------------------------------------
 
 
@@ -358,6 +392,45 @@ def test_sharding(spark, docs, nothing):
 # ---- 8 ---------------------------------------------------------------------------
 
 
+def profiles_by_hand(rows):
+    """lang -> Counter of trigrams, by plain Python."""
+    out = {}
+    for _, t, lang in rows:
+        if t is not None and lang is not None:
+            out.setdefault(lang, Counter()).update(grams_by_hand(t))
+    return {k: v for k, v in out.items() if v}
+
+
+def grams_by_hand(t):
+    fold = lambda c: (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+    x = re.sub(" +", " ", " " + "".join(map(fold, t)) + " ")
+    return [x[i : i + 3] for i in range(len(x) - 2)] if x.strip() else []
+
+
+def test_language_is_brute_force(spark):
+    rnd = random.Random(21)
+    alphabets = {"aa": "abcdeéö ", "bb": "abxyzßÀ ", "cc": "日本語国中 ", "dd": "абвгдЯ "}
+    rows = [(i, "".join(rnd.choice(alphabets[k]) for _ in range(rnd.randint(1, 120))) + rnd.choice(["", "12", "!?"]), k) for i, k in enumerate(list(alphabets) * 15)]
+    rows += [(100, None, "aa"), (101, "abc", None), (102, "", "bb"), (103, "123", None), (104, "𐐀𐐨 ab", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identified(df, language.prototypes(df)).collect()}
+    letter = lambda c: np.zeros(0) if c is None else language.letter_vectors(np.array([0 if c == " " else ord(c)]))[0].astype(float)
+    vector = lambda g: np.roll(letter(g[0]), 2) * np.roll(letter(g[1]), 1) * letter(g[2])
+    bundle = lambda c: sum(n * vector(g) for g, n in c.items())
+    unit = lambda x: x / np.linalg.norm(x) if np.linalg.norm(x) else x
+    learnt = {k: unit(bundle(c)) for k, c in sorted(profiles_by_hand(rows).items())}
+    mean = sum(learnt.values()) / len(learnt)
+    own = {k: unit(v - mean) for k, v in learnt.items()}
+    for k, t, _ in rows:
+        grams = Counter(grams_by_hand(t or ""))
+        if not grams:
+            assert (got[k]["lang_pred"], got[k]["score"], got[k]["familiar"]) == ("und", 0.0, False)
+            continue
+        cosine = {lang: float(unit(unit(bundle(grams)) - mean) @ v) for lang, v in own.items()}
+        assert cosine[got[k]["lang_pred"]] > max(cosine.values()) - 1e-5
+        assert abs(got[k]["score"] - min(max(max(cosine.values()), 0), 1)) < 1e-4
+
+
 def test_language(spark, docs, nothing):
     rnd = random.Random(4)
     rows = []
@@ -538,6 +611,38 @@ def test_quality(spark, docs, nothing):
     assert quality.judged(docs, trusted.limit(0)).count() == docs.count()
 
 
+def test_quality_scores_are_brute_force(spark, docs):
+    import math
+
+    import xxhash
+
+    def bucket(*w):
+        h = 42
+        for x in w:
+            h = xxhash.xxh64(x.encode(), seed=h).intdigest()
+        return h % quality.BUCKETS
+
+    def grams(t):
+        w = re.findall(SPACE_WORD, t or "")
+        return [bucket(x) for x in w] + [bucket(a, b) for a, b in zip(w, w[1:])]  # noqa: B905
+
+    rows = texts(docs)
+    every, target = Counter(), Counter()
+    for k, t in rows:
+        every.update(grams(t))
+        if k is not None and k % 2 == 0:
+            target.update(grams(t))
+    n, m = sum(every.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
+    want = Counter()
+    for k, t in rows:
+        g = grams(t)
+        score = sum(math.log((target[b] + 1) / m) - math.log((every[b] + 1) / n) for b in g) / max(len(g), 1)
+        want[k, round(score, 7)] += 1
+    out = quality.judged(docs, docs.select("doc_id").filter("doc_id % 2 = 0")).collect()
+    assert Counter((r["doc_id"], round(r["score"], 7)) for r in out) == want
+    assert all(r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD) for r in out)
+
+
 # ---- pipeline --------------------------------------------------------------------
 
 
@@ -556,3 +661,30 @@ def test_pipeline(spark):
     out = pipeline.run(spark, sf)
     assert {r[0] for r in out.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
     assert len({c for _, _, c in groups_by_hand(texts(docs))}) >= docs.count() - 2
+
+
+@pytest.mark.parametrize("name", ["language", "lines", "near_duplicates", "decontamination", "packing"])
+def test_stages_on_odd_rows(spark, docs, nothing, name):
+    """Null, empty, repeated and very long texts, null ids, and columns that are called as the operators' own."""
+    import corpus_pipeline as pipeline
+
+    sf = "/root/testdata/sf0.001"
+    odd = docs.withColumns({"lang_pred": F.lit("mine"), "n_hit": F.lit("mine"), "familiar": F.lit("mine"), "n_removed": F.lit("mine"), "rest_of_row": F.lit("mine")})
+    stage = dict(pipeline.STAGES)[name]
+    out, none = stage(spark, odd, sf), stage(spark, nothing, sf)
+    assert none.count() == 0
+    if name == "packing":
+        assert out.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
+        return
+    assert out.columns == odd.columns
+    rows, before = out.collect(), odd.collect()
+    assert {r["lang_pred"] for r in rows} | {r["n_hit"] for r in rows} | {r["familiar"] for r in rows} == {"mine"}
+    kept, had = Counter((r["doc_id"], r["text"]) for r in rows), Counter((r["doc_id"], r["text"]) for r in before)
+    if name == "lines":
+        assert len(rows) == len(before)
+    elif name == "near_duplicates":
+        assert kept <= had and all(n == 1 for (k, _), n in kept.items() if k is not None)
+    elif name == "decontamination":
+        assert kept == had
+    else:
+        assert kept <= had and all(t and re.search("[^\\W\\d_]", t) for _, t in kept)
