@@ -31,6 +31,15 @@ def boilerplate(docs, site, ratio, min_pages):
     return frequent.groupBy("site").agg(F.collect_set("line").alias("lines"))
 
 
+def salt(docs):
+    """A number below SALTS of each row, by all columns that can be hashed (no maps): copies of a text under other ids spread.
+
+    It hangs on the row alone, so a task that runs again deals its rows alike.
+    """
+    some = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(*(F.col("`" + c.replace("`", "``") + "`") for c in some)), F.lit(SALTS)).cast("int")
+
+
 def drop_boilerplate(docs, site="source", ratio=0.1, min_pages=5):
     """All rows and columns of docs; text loses its site's boilerplate lines, n_lines and n_removed are new.
 
@@ -50,8 +59,7 @@ def drop_boilerplate(docs, site="source", ratio=0.1, min_pages=5):
         both = docs.join(F.broadcast(listed), site_, "left")
     else:
         salted = listed.withColumn(salt_, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        spread = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")
-        both = docs.withColumn(salt_, spread).join(salted, [site_, salt_], "left").drop(salt_)
+        both = docs.withColumn(salt_, salt(docs)).join(salted, [site_, salt_], "left").drop(salt_)
     lines = F.split("text", "\n")
     none = F.col("text").isNull()
     kept = F.when(F.col(listed_).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(listed_, F.xxhash64(x))))

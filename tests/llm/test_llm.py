@@ -180,6 +180,15 @@ def test_line_dedup(docs, nothing, monkeypatch, limit):
     assert line_dedup.drop_boilerplate(nothing).count() == 0
 
 
+def test_line_dedup_spreads_copies(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
+    rows = [(i, "menu\nall the same", "one site", {"k": i}) for i in range(500)]
+    copies = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.map` map<string,int>")
+    assert copies.select(line_dedup.salt(copies).alias("s")).distinct().count() == line_dedup.SALTS
+    got = line_dedup.drop_boilerplate(copies, "source", 0.1, 5).collect()
+    assert sorted((r["doc_id"], r["a.map"]["k"], r["text"], r["n_removed"]) for r in got) == [(i, i, "", 2) for i in range(500)]
+
+
 # ---- 4 ---------------------------------------------------------------------------
 
 
