@@ -1,4 +1,8 @@
-"""The users - chats - sessions - findings model: reads, reports and changes."""
+"""The users - chats - sessions - findings model: reads, reports and changes.
+
+Tables come from the caller, so no join is told to broadcast one: Spark does so
+where it knows that the side is below spark.sql.autoBroadcastJoinThreshold.
+"""
 
 from pyspark.sql import functions as F
 
@@ -24,7 +28,7 @@ def owned(chats, chat_id, user_id):
 
 def session_tree(sessions, reports, results, types):
     """Each session with its report (or null) and the list of its findings (or an empty one), oldest first."""
-    named = results.join(F.broadcast(types.select(F.col("Id").alias("VulnTypeId"), "VulnName", "Severity")), "VulnTypeId")
+    named = results.join(types.select(F.col("Id").alias("VulnTypeId"), "VulnName", "Severity"), "VulnTypeId")
     fields = [c for c in results.columns if c not in ("ScanId", "VulnTypeId")]
     item = F.struct("Id", "VulnName", severity_name(F.col("Severity")).alias("SeverityName"), *(c for c in fields if c != "Id"))
     nested = named.groupBy(F.col("ScanId").alias("Id")).agg(F.sort_array(F.collect_list(item)).alias("Findings"))
@@ -34,11 +38,11 @@ def session_tree(sessions, reports, results, types):
 
 def ingest(findings, types):
     """Findings with their type's id; those of unknown names are left out (rejected() counts them)."""
-    return findings.join(F.broadcast(types.select(F.col("Id").alias("VulnTypeId"), F.col("VulnName").alias("label"))), "label").drop("label")
+    return findings.join(types.select(F.col("Id").alias("VulnTypeId"), F.col("VulnName").alias("label")), "label").drop("label")
 
 
 def rejected(findings, types):
-    return findings.join(F.broadcast(types.select(F.col("VulnName").alias("label"))), "label", "left_anti")
+    return findings.join(types.select(F.col("VulnName").alias("label")), "label", "left_anti")
 
 
 def first_or_null(df, predicate, order):

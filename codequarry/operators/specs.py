@@ -20,7 +20,7 @@ def dependent(subtypes, languages, on):
 def sampled(cells_, pool, keys, value, size=2, seed="0"):
     """`size` values of a pool for each cell, by md5 of the cell, the value and the seed."""
     mark = F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.col(value).cast("string"), F.lit(seed)).cast("binary"))
-    ranked = cells_.crossJoin(F.broadcast(pool)).withColumn("_m", mark)
+    ranked = cells_.crossJoin(pool).withColumn("_m", mark)
     return ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_m", value))).filter(F.col("_r") <= size).drop("_m", "_r")
 
 
@@ -41,10 +41,27 @@ def up_to(df, order, target):
     return df.orderBy(*order).limit(target)
 
 
+#: Most rows of a whitelist that is broadcast.
+WHITELIST_ROWS = 10_000
+
+
 def allowed(df, whitelist, subtype="subtype", lang="lang"):
-    """Rows but those whose subtype holds a key (key, langs) that doesn't list their language."""
-    w = F.broadcast(whitelist)
-    return df.join(w, F.contains(F.col(subtype), w["key"]) & ~F.array_contains(w["langs"], F.col(lang)), "left_anti")
+    """Rows but those whose subtype holds a key (key, langs) that doesn't list their language.
+
+    A whitelist of more than WHITELIST_ROWS meets the substrings of the distinct
+    subtypes that are no longer than its longest key, by an equi-join.  Nulls
+    hold no key and break no list.
+    """
+    if whitelist.limit(WHITELIST_ROWS + 1).count() <= WHITELIST_ROWS:
+        w = F.broadcast(whitelist)
+        return df.join(w, F.contains(F.col(subtype), w["key"]) & ~F.array_contains(w["langs"], F.col(lang)), "left_anti")
+    longest = whitelist.agg(F.max(F.length("key"))).first()[0] or 0
+    pairs = df.select(F.col(subtype).alias("_s"), F.col(lang).alias("_l")).distinct()
+    n = F.length("_s")
+    substrings = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(longest))), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring("_s", i, k)))
+    parts = pairs.select("_s").distinct().select("_s", F.explode(F.array_distinct(F.flatten(substrings))).alias("key"))
+    broken = parts.join(whitelist.select("key", "langs"), "key").join(pairs, "_s").filter(~F.array_contains("langs", F.col("_l"))).select("_s", "_l").distinct()
+    return df.join(broken, (F.col(subtype) == F.col("_s")) & (F.col(lang) == F.col("_l")), "left_anti")
 
 
 def batch_quota(df, key, order, quota):

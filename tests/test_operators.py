@@ -174,3 +174,12 @@ def test_context_and_prompt(spark):
     assert whole == "1 | a\n2 | b"
     assert part == "import os\n\n 49 | line 49\n 50 | line 50\n 51 | line 51\n 52 | line 52"
     assert column(spark, ["x", None], lambda c: L.prompt("fix {code} now", code=c)) == ["fix x now", "fix  now"]
+
+
+@pytest.mark.parametrize("limit", [0, 10])
+def test_whitelist_of_any_size(spark, monkeypatch, limit):
+    monkeypatch.setattr(specs, "WHITELIST_ROWS", limit)
+    rows = [("sql blind", "py"), ("sql blind", "js"), ("sql blind", "js"), ("xss", "js"), ("", "py"), (None, "py"), ("blind", None), ("sqsql", "go")]
+    white = spark.createDataFrame([("sql", ["py"]), ("blind", ["py", "js"]), ("xss", None), ("no", ["c"])], "key string, langs array<string>")
+    got = specs.allowed(spark.createDataFrame(rows, "subtype string, lang string"), white).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [rows[0], rows[3], rows[4], rows[5], rows[6]]))
