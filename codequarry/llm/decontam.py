@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codequarry.llm.textkit import ALNUM_WORDS, Kit, Words, blocks, draw, mix
+from codequarry.llm.workspace import extended
 
 SHINGLE = 3
 BLOCK_WINDOWS = 500_000
@@ -195,8 +196,7 @@ def marked(docs, benchmark, size=13):
                 named = [sorted(x) for x in found]
                 yield pa.record_batch([*rows.columns, pa.array(w.counts.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in named], pa.int64()), pa.array(named, pa.list_(pa.string()))], [*rows.schema.names, "n_words", "n_hit", "n_items", "items"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(judge, f"{fields}, n_words long, n_hit long, n_items long, items array<string>")
+    out = extended(docs, judge, "n_words long, n_hit long, n_items long, items array<string>")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.graph import components
 from codequarry.llm.textkit import Kit, Recent, blocks, draw, mix, signed
-from codequarry.llm.workspace import Table, bitmap, fresh, in_bitmap
+from codequarry.llm.workspace import Table, bitmap, fresh, in_bitmap, quoted
 
 HISTOGRAM = 1 << 14
 BITS = 27
@@ -328,4 +328,4 @@ def distinct_documents(docs, percent=75):
     least = least.join(found, key).groupBy("component_id").agg(F.min("row").alias("row")).select("row.doc_id", f"row.{key}")
     stay = least.union(named.filter(wordless).select("doc_id", key).distinct())
     one = named.dropDuplicates(["doc_id", key]).join(stay, ["doc_id", key], "left_semi")
-    return one.unionByName(keyed.filter("doc_id is null")).select(docs.columns)
+    return one.unionByName(keyed.filter("doc_id is null")).select(quoted(docs.columns))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from codequarry.llm.textkit import _ODD, blocks, mix, pieces
-from codequarry.llm.workspace import Table
+from codequarry.llm.workspace import Table, extended
 
 #: Letters that trigrams of plain numbers are made of.
 CODES = 64
@@ -308,8 +308,7 @@ def identified(docs, model):
                 part = batch.slice(lo, n)
                 yield pa.record_batch([*part.columns, pa.array(said, pa.string()), pa.array(score), pa.array(familiar)], [*part.schema.names, "lang_pred", "score", "familiar"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(predict, f"{fields}, lang_pred string, score double, familiar boolean")
+    return extended(docs, predict, "lang_pred string, score double, familiar boolean")
 
 
 def held_out(doc_id):

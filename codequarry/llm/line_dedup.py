@@ -13,7 +13,7 @@ under a salt that spreads a large site.
 
 from pyspark.sql import functions as F
 
-from codequarry.llm.workspace import Table, fresh
+from codequarry.llm.workspace import Table, fresh, quoted
 
 #: Most listed lines (8 bytes each) that are broadcast.
 BROADCAST_LINES = 500_000
@@ -37,7 +37,7 @@ def salt(docs):
     It hangs on the row alone, so a task that runs again deals its rows alike.
     """
     some = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    return F.pmod(F.xxhash64(*(F.col("`" + c.replace("`", "``") + "`") for c in some)), F.lit(SALTS)).cast("int")
+    return F.pmod(F.xxhash64(*quoted(some)), F.lit(SALTS)).cast("int")
 
 
 def drop_boilerplate(docs, site="source", ratio=0.1, min_pages=5):

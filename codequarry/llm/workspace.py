@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 @functools.cache
@@ -72,6 +73,19 @@ def fresh(df, name):
     return name
 
 
+def quoted(names):
+    """Column names as Spark reads them, whatever characters they have."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def extended(df, function, more):
+    """df.mapInArrow(function) for one that adds fields (DDL) to the batches it gets; df's columns are numbered there, as Spark can't pass on all names."""
+    added = StructType.fromDDL(more)
+    plain = [StructField(f"_{i}", f.dataType) for i, f in enumerate(df.schema.fields)]
+    out = df.toDF(*(f.name for f in plain)).mapInArrow(function, StructType(plain + added.fields))
+    return out.toDF(*df.columns, *added.names)
+
+
 def bitmap(df, column, bits=23):
     """A bitmap of 2**bits places (a fixed size, whatever the input) of the values of a long column.
 

@@ -697,3 +697,20 @@ def test_stages_on_odd_rows(spark, docs, nothing, name):
         assert kept == had
     else:
         assert kept <= had and all(t and re.search("[^\\W\\d_]", t) for _, t in kept)
+
+
+#: Names with characters that mean something to Spark's parser, and a type that can't be hashed or compared.
+ODD_NAMES = "doc_id long, text string, lang string, source string, `a.b` int, `c d` int, `e``f` int, `m:n<` map<string,int>"
+
+
+@pytest.fixture(scope="module")
+def oddly_named(spark):
+    words = "the cat sat on the mat and then it went out to see the big wide world again "
+    return spark.createDataFrame([(i, words * 3 + str(i) if i else None, "en", "s", i, 1, 2, {"k": i}) for i in range(12)], ODD_NAMES)
+
+
+def test_odd_column_names(spark, oddly_named):
+    benchmark = spark.createDataFrame([("i", "nothing of this stands in any document")], "item_id string, text string")
+    every = [language.identified(oddly_named, language.prototypes(oddly_named)), decontam.marked(oddly_named, benchmark), line_dedup.drop_boilerplate(oddly_named), quality.judged(oddly_named, oddly_named.select("doc_id"))]
+    for out in every:
+        assert {(r["doc_id"], r["a.b"], r["c d"], r["e`f"], r["m:n<"]["k"]) for r in out.collect()} == {(i, i, 1, 2, i) for i in range(12)}
