@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from codequarry.llm import decontam, jaccard_join, language, line_dedup, packing
 from codequarry.llm.queries import MIN_PAGES, RATIO, documents, tokenizer
-from codequarry.llm.workspace import Table, small_batches
+from codequarry.llm.workspace import Table, quoted, small_batches
 
 
 def carried(docs, step, *named):
     """step over the text (and the named columns) of docs; all other columns go along in one, so that no name can clash."""
-    rest = F.struct(*(c for c in docs.columns if c != "text"))
+    rest = F.struct(*quoted(c for c in docs.columns if c != "text"))
     out = step(docs.select("text", rest.alias("rest_of_row"), *named))
     return out.select(*(F.col("text") if c == "text" else F.col("rest_of_row").getField(c).alias(c) for c in docs.columns))
 
