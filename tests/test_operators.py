@@ -202,3 +202,19 @@ def test_retry_stream_in_any_order_and_many_frames(spark, tmp_path):
     want = [(u, e, "sent" if k else "queued") for u, e, k in rows]
     want += [(u, e, "flushed") for u, e, k in rows if k is False and e is not None and e < last[u]]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_smallest_enclosing_makes_no_pairs(spark):
+    rnd = random.Random(5)
+    points = [(k, i, lo, lo + rnd.randint(-1, 6)) for k in (1, 2, 3, None) for i in range(60) for lo in [rnd.randint(0, 40)]] + [(1, 99, None, 3)]
+    regions = [(k, lo, lo + rnd.randint(0, 20)) for k in (1, 2, None) for lo in (rnd.randint(0, 40) for _ in range(80))] + [(1, 0, None)]
+    got = intervals.smallest_enclosing(spark.createDataFrame(points, "f int, id int, lo int, hi int"), spark.createDataFrame(regions, "f int, start int, end int"), ["f"])
+    want = []
+    for f, i, lo, hi in points:
+        held = [(e - s, s, e) for k, s, e in regions if f is not None and k == f and None not in (e, lo) and s <= lo and e >= hi]
+        want += [(f, i, lo, hi, *min(held)[1:])] if held else []
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    same = spark.range(3000).selectExpr("1 as f", "id", "2L as lo", "3L as hi")
+    many = intervals.smallest_enclosing(same, same.selectExpr("f", "lo as start", "hi as end"), ["f"])
+    assert many.count() == 3000
+    assert "lo#" not in "".join(x for x in many._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "<=" in x)
