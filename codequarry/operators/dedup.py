@@ -1,6 +1,9 @@
 """Near-duplicate detection by shared n-grams of tokens."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from codequarry.functions.lines import let
 from codequarry.functions.text import tokenize
@@ -40,11 +43,21 @@ def classes(df, key, text, n=4):
 BUCKETS = 1 << 15
 
 
-def prefixes(prints, often, percent):
-    """(print, size, gram): the rarest grams of each print, as many as two prints over the threshold must share one of."""
+#: Sets of one leader that are compared in one place, and rows of a table that is sent to all tasks.
+BLOCK = 64
+BROADCAST_ROWS = 300_000
+
+
+def _rarest(often, percent):
+    """The rarest grams of a row, as many as two sets over the threshold must share one of."""
     ranked = F.array_sort(F.transform("grams", lambda g: F.struct(F.get(often, F.pmod(g, F.lit(BUCKETS)).cast("int")).alias("often"), g.alias("g"))))
     need = F.ceil(F.lit(percent) * F.col("size") / 100).cast("int")
-    return prints.select("print", "size", F.explode(F.transform(F.slice(ranked, F.lit(1), F.col("size") - need + 1), lambda x: x["g"])).alias("gram"))
+    return F.transform(F.slice(ranked, F.lit(1), F.col("size") - need + 1), lambda x: x["g"])
+
+
+def prefixes(prints, often, percent):
+    """(print, size, gram): the rarest grams of each print."""
+    return prints.select("print", "size", F.explode(_rarest(often, percent)).alias("gram"))
 
 
 def similar_classes(left, right=None, percent=80):
@@ -69,14 +82,85 @@ def similar_classes(left, right=None, percent=80):
     return whole.filter(100 * F.col("both") >= percent * union).select("a", "b", (F.col("both") / union).alias("similarity"))
 
 
+def near_classes(df, key, text, n=4, percent=80):
+    """(id, c) of all rows with tokens, (c, first id, copies) and (a, b, similarity) of similar classes.
+
+    Grams are made from the text whenever they are needed and never kept for all
+    rows, as they take several times the room of the text.  Kept are the prints,
+    the prefixes, and the whole sets of what has a candidate.
+    """
+    # out of a generator, as a filter that is pushed below a plain column would make the grams once more
+    made = F.explode(F.array(hashed_print(F.coalesce(F.col(text), F.lit("")), n))).alias("grams")
+    texts = df.select(F.col(key).alias("id"), made).filter(F.size("grams") > 0)
+    name = F.unhex(F.concat(F.lpad(F.hex(F.xxhash64("grams")), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), "grams")), 16, "0")))
+    texts = texts.withColumn("print", name).withColumn("size", F.size("grams"))
+    schema = StructType([texts.schema["id"], texts.schema["print"], StructField("counts", ArrayType(LongType()))])
+    schema["id"].nullable = schema["print"].nullable = True
+
+    def counted(batches):
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for b in batches:
+            grams = b.column("grams").flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount(np.mod(grams, BUCKETS), minlength=BUCKETS)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("print"), pa.nulls(b.num_rows, pa.list_(pa.int64()))], ["id", "print", "counts"])
+        last = [pa.nulls(1, b.column("id").type), pa.nulls(1, b.column("print").type)] if total.any() else None
+        if last:
+            yield pa.RecordBatch.from_arrays([*last, pa.array([total.tolist()], pa.list_(pa.int64()))], ["id", "print", "counts"])
+
+    known = cut(texts.select("id", "print", "grams").mapInArrow(counted, schema))
+    every = known.filter("counts is not null").select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n"))
+    table = {r["k"]: r["n"] for r in every.collect()}  # BUCKETS rows at most
+    often = F.split(F.lit(",".join(str(table.get(k, 0)) for k in range(BUCKETS))), ",").cast("array<long>")
+    rare = texts.select("id", "print", "size", _rarest(often, percent).alias("grams"))
+    one = rare.groupBy("print").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("grams").alias("grams"))
+    classes = cut(one.withColumn("c", F.monotonically_increasing_id()))
+    rows = known.filter("counts is null").join(classes.select("print", "c"), "print").select("id", "c")
+
+    # of two sets the smaller one needs the shorter prefix, and common grams leave room for the overlap by their places
+    each = classes.select("c", "size", F.posexplode("grams").alias("i", "gram"))
+    shorter = each.filter(F.col("i") <= F.col("size") - F.ceil(F.lit(2 * percent) * F.col("size") / (100 + percent)))
+    a, b = shorter.alias("a"), each.alias("b")
+    on = (F.col("a.gram") == F.col("b.gram")) & ((F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.c") < F.col("b.c"))))
+    on = on & (100 * F.col("a.size") >= percent * F.col("b.size"))
+    most = F.least("a.i", "b.i") + F.least(F.col("a.size") - F.col("a.i"), F.col("b.size") - F.col("b.i"))
+    on = on & ((100 + percent) * most >= percent * (F.col("a.size") + F.col("b.size")))
+    candidates = cut(a.join(b, on).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct())
+
+    # pairs are compared where the blocks of their leaders' followers meet, so a set goes to few places
+    both = candidates.unionByName(candidates.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    led = cut(both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("a"), F.min("b")).alias("lead")))
+    parts = led.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    placed = led.join(parts, "lead").select("c", F.struct("lead", F.pmod(F.xxhash64("c"), F.col("parts")).alias("block")).alias("at"))
+    pairs = candidates.join(placed.withColumnsRenamed({"c": "a", "at": "x"}), "a").join(placed.withColumnsRenamed({"c": "b", "at": "y"}), "b")
+    pairs = cut(pairs.select(F.xxhash64(F.array_sort(F.array("x", "y"))).alias("g"), "a", "b"))
+    members = pairs.select("g", F.col("a").alias("c")).union(pairs.select("g", "b")).groupBy("c").agg(F.collect_set("g").alias("gs"))
+    members = cut(members.join(classes.select("c", F.col("print").alias("p"), F.col("first").alias("f")), "c"))
+    members = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    plain = df.select(F.col(key).alias("id"), F.col(text).alias("_text"))
+    whole = plain.join(members, F.col("id").eqNullSafe(F.col("f"))).select("c", "gs", "p", F.explode(F.array(hashed_print(F.coalesce(F.col("_text"), F.lit("")), n))).alias("grams"))
+    whole = whole.withColumn("print", name).filter("print = p").select(F.explode("gs").alias("g"), F.struct("c", "grams").alias("d"))
+    kept, asked = whole.schema["d"].dataType, F.struct("a", "b")
+    work = whole.withColumn("ask", F.lit(None).cast("struct<a:bigint,b:bigint>")).unionByName(pairs.select("g", F.lit(None).cast(kept).alias("d"), asked.alias("ask")))
+    work = work.groupBy("g").agg(F.collect_list("d").alias("d"), F.collect_list("ask").alias("ask"))
+
+    def compared(d):
+        def of(c):
+            return F.filter(d, lambda x: x["c"] == c)[0]["grams"]
+
+        return F.transform("ask", lambda p: let(F.struct(of(p["a"]).alias("x"), of(p["b"]).alias("y")), lambda v: F.struct(
+            p["a"].alias("a"), p["b"].alias("b"), (F.size(v["x"]) + F.size(v["y"])).alias("total"), F.size(F.array_intersect(v["x"], v["y"])).alias("both"))))
+
+    found = work.select(F.explode(compared(F.col("d"))).alias("v")).select("v.*").withColumn("together", F.col("total") - F.col("both"))
+    similar = found.filter(100 * F.col("both") >= percent * F.col("together")).select("a", "b", (F.col("both") / F.col("together")).alias("similarity"))
+    return rows, classes.select("c", "first", "copies"), similar
+
+
 def near_dup_pairs(df, key, text, n=4, percent=80):
     """(a, b, similarity) of all rows, a < b: pairs of classes, and what copies make of them."""
-    rows, prints = classes(df, key, text, n)
-    prints = cut(prints)
-    pairs = similar_classes(prints, None, percent).select(F.col("a").alias("x"), F.col("b").alias("y"), "similarity")
-    same = rows.groupBy("print").count().filter("count > 1").select(F.col("print").alias("x"), F.col("print").alias("y"), F.lit(1.0).alias("similarity"))
-    left, right = rows.select(F.col("id").alias("a"), F.col("print").alias("x")), rows.select(F.col("id").alias("b"), F.col("print").alias("y"))
-    every = pairs.unionByName(same).join(left, "x").join(right, "y").filter((F.col("x") != F.col("y")) | (F.col("a") < F.col("b")))
+    rows, classes, pairs = near_classes(df, key, text, n, percent)
+    same = classes.filter("copies > 1").select(F.col("c").alias("x"), F.col("c").alias("y"), F.lit(1.0).alias("similarity"))
+    left, right = rows.select(F.col("id").alias("a"), F.col("c").alias("x")), rows.select(F.col("id").alias("b"), F.col("c").alias("y"))
+    every = pairs.withColumnsRenamed({"a": "x", "b": "y"}).unionByName(same).join(left, "x").join(right, "y").filter((F.col("x") != F.col("y")) | (F.col("a") < F.col("b")))
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
@@ -103,13 +187,11 @@ def greedy_accept(ids, pairs):
 
 def accepted(df, key, text, n=4, percent=80):
     """Greedy near-duplicate removal over a table: only the first of a class of equal prints can be accepted."""
-    rows, prints = classes(df, key, text, n)
-    prints = cut(prints.join(rows.groupBy("print").agg(F.min("id").alias("first")), "print"))
-    pairs = similar_classes(prints.drop("first"), None, percent)
-    first = prints.select("print", "first")
-    pairs = pairs.join(first.withColumnsRenamed({"print": "a", "first": "x"}), "a").join(first.withColumnsRenamed({"print": "b", "first": "y"}), "b")
+    rows, known, pairs = near_classes(df, key, text, n, percent)
+    first = known.select("c", "first")
+    pairs = pairs.join(first.withColumnsRenamed({"c": "a", "first": "x"}), "a").join(first.withColumnsRenamed({"c": "b", "first": "y"}), "b")
     decided = greedy_accept(first.select(F.col("first").alias("id")), pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    out = df.select(F.col(key).alias("id")).join(rows.join(first, "print").select("id", "first"), "id", "left")
+    out = df.select(F.col(key).alias("id")).join(rows.join(first, "c").select("id", "first"), "id", "left")
     stays = decided.withColumnsRenamed({"id": "first", "accepted": "_yes"})
     return out.join(stays, "first", "left").select("id", (F.col("first").isNull() | ((F.col("id") == F.col("first")) & F.col("_yes"))).alias("accepted"))
 

@@ -218,3 +218,30 @@ def test_smallest_enclosing_makes_no_pairs(spark):
     many = intervals.smallest_enclosing(same, same.selectExpr("f", "lo as start", "hi as end"), ["f"])
     assert many.count() == 3000
     assert "lo#" not in "".join(x for x in many._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "<=" in x)
+
+
+@pytest.mark.parametrize("block, rows", [(64, 1000), (2, 0)])
+def test_near_pairs_keep_no_grams_of_all_rows(spark, monkeypatch, block, rows):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(40, 80))) for _ in range(80)]
+    for k in range(8):
+        words = texts[0].split()
+        words[rnd.randrange(len(words))] = "x1"
+        texts += [" ".join(words)] * (1 + k % 2)
+    data = [*enumerate([*texts, "one two", "two one", "", None]), (len(texts), texts[0])]
+    df = spark.createDataFrame(data, "id long, text string")
+    monkeypatch.setattr(dedup, "BLOCK", block, raising=False)
+    monkeypatch.setattr(dedup, "BROADCAST_ROWS", rows, raising=False)
+    kept, real = [], dedup.cut
+
+    def cut(x):
+        out = real(x)
+        kept.extend(out.agg(F.sum(F.size("grams"))).first()[0] or 0 for c in out.columns if c == "grams")
+        return out
+
+    monkeypatch.setattr(dedup, "cut", cut)
+    got = sorted((r["a"], r["b"], round(r["similarity"], 9)) for r in dedup.near_dup_pairs(df, "id", "text", percent=70).collect())
+    sets = [(r["id"], set(r["grams"])) for r in dedup.fingerprints(df, "id", "text").collect()]
+    want = [(i, j, round(len(x & y) / len(x | y), 9)) for i, x in sets for j, y in sets if i < j and x and y and 100 * len(x & y) >= 70 * len(x | y)]
+    assert got == sorted(want) and len(want) > 40
+    assert sum(kept) < sum(len(x) for _, x in sets)
