@@ -80,6 +80,17 @@ def test_merge_and_overlap(spark):
     assert got == [(1, 12, 0.9, 0), (18, 20, 0.1, 2)]
 
 
+def test_overlapping_keeps_every_pair(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(3), rnd.choice("AB"), s := rnd.randrange(20), s + rnd.randrange(-1, 9), i // 2) for i in range(400)]
+    rows += [(0, "A", 3, 9, 1000 + i) for i in range(150)]
+    odd = [(None, "A", 0, 99, 2000), (0, None, 0, 99, 2001), (0, "A", 0, 99, None)]
+    df = spark.createDataFrame(rows + odd, "f int, g string, start int, end int, seq int")
+    got = sorted(tuple(r) for r in intervals.overlapping(df, ["f", "g"]).collect())
+    expected = [(*x[:2], x[4], y[4]) for x in rows for y in rows if x[:2] == y[:2] and x[4] < y[4] and min(x[3], y[3]) > max(x[2], y[2])]
+    assert got == sorted(expected)
+
+
 @pytest.mark.parametrize(
     "raw, reason",
     [
